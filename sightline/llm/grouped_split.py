@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.hashing import uniform
@@ -149,5 +149,5 @@ def split_report(assigned: DataFrame) -> DataFrame:
     """Records and their share per stratum and split, and in all (stratum null)."""
     rows = assigned.groupBy("stratum", "split").agg(F.sum("records").alias("records"))
     rows = rows.unionByName(rows.groupBy("split").agg(F.sum("records").alias("records")).withColumn("stratum", F.lit(None).cast("string")))
-    sums = rows.groupBy("stratum").agg(F.sum("records").alias("all"))
-    return rows.join(sums, rows["stratum"].eqNullSafe(sums["stratum"])).select(rows["stratum"], "split", "records", F.coalesce(F.try_divide("records", "all"), F.lit(0.0)).alias("share"))
+    whole = F.sum("records").over(Window.partitionBy("stratum"))  # one row per stratum and split
+    return rows.select("stratum", "split", "records", F.coalesce(F.try_divide(F.col("records").cast("double"), whole.cast("double")), F.lit(0.0)).alias("share"))

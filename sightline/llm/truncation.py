@@ -50,7 +50,7 @@ REACH = 240
 CUT_WORDS = "cut|eof|eot|truncated|snip|more|continued|end of file|abgeschnitten|gekürzt|cortado|coupé|tronqué"
 _MARK = re.compile(rf"(?:…|\.{{3,}}|�|\\|[\[<(]\s*(?:{CUT_WORDS})\s*[\])>])\s*$", re.I)
 _FENCE = re.compile(r"\s*`{1,3}\s*$")
-_ADDED = re.compile(r"(?:\n\s*(?:--+|—|Signed|Signature|Gez|Firmado|Signé)\b?[^\n]{0,80}|\s*[\[(](?:ref|no|id|see|siehe|réf)\b[^\])\n]{0,60}[\])])\s*$", re.I)
+_ADDED = re.compile(r"(?:\n\s*(?:--+|—|Signed|Signature|Gez|Firmado|Signé)[^\n]{0,80}|\s*[\[(](?:ref|no|id|see|siehe|réf)\b[^\])\n]{0,60}[\])])\s*$", re.I)
 _STOP = re.compile(r"[.!?]+[\"'”’)\]]*$")
 
 #: Frequent function words of four languages.
