@@ -23,34 +23,34 @@ def bottom_k(df: DataFrame, group: list[str], key: str, ties: list[str], k: str,
     ``key`` is a column of doubles in [0, 1), ``k`` a column with one value per group (null: all rows). Group columns must
     not be null. The input is read twice, so pass a table rather than a long plan.
     """
-    cut, rest = "__cut", "__rest"
-    buckets_of = df.withColumn("__b", bucket_of(F.col(key), buckets))
-    sums = buckets_of.groupBy(*group, "__b").agg(F.count("*").alias("__n"), F.max(F.col(k).cast("bigint")).alias("__k"))
-    upto = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    cut, rest = "__rank_cut", "__rank_rest"
+    buckets_of = df.withColumn("__rank_b", bucket_of(F.col(key), buckets))
+    sums = buckets_of.groupBy(*group, "__rank_b").agg(F.count("*").alias("__rank_n"), F.max(F.col(k).cast("bigint")).alias("__rank_k"))
+    upto = Window.partitionBy(*group).orderBy("__rank_b").rowsBetween(Window.unboundedPreceding, -1)
     cuts = (
-        sums.withColumn("__before", F.coalesce(F.sum("__n").over(upto), F.lit(0)))
+        sums.withColumn("__rank_before", F.coalesce(F.sum("__rank_n").over(upto), F.lit(0)))
         .groupBy(*group)
         .agg(
-            F.coalesce(F.min(F.when(F.col("__before") + F.col("__n") > F.col("__k"), F.col("__b"))), F.lit(buckets)).alias(cut),
-            F.min(F.when(F.col("__before") + F.col("__n") > F.col("__k"), F.struct("__b", (F.col("__k") - F.col("__before")).alias("r")))).alias(rest),
+            F.coalesce(F.min(F.when(F.col("__rank_before") + F.col("__rank_n") > F.col("__rank_k"), F.col("__rank_b"))), F.lit(buckets)).alias(cut),
+            F.min(F.when(F.col("__rank_before") + F.col("__rank_n") > F.col("__rank_k"), F.struct("__rank_b", (F.col("__rank_k") - F.col("__rank_before")).alias("r")))).alias(rest),
         )
         .select(*group, cut, F.col(f"{rest}.r").alias(rest))
     )
-    joined = buckets_of.join(cuts, group).filter(F.col("__b") <= F.col(cut))
+    joined = buckets_of.join(cuts, group).filter(F.col("__rank_b") <= F.col(cut))
     edge = Window.partitionBy(*group).orderBy(key, *ties)
-    at_edge = joined.filter(F.col("__b") == F.col(cut)).withColumn("__r", F.row_number().over(edge)).filter(F.col("__r") <= F.col(rest))
-    return joined.filter(F.col("__b") < F.col(cut)).select(*df.columns).unionByName(at_edge.select(*df.columns))
+    at_edge = joined.filter(F.col("__rank_b") == F.col(cut)).withColumn("__rank_r", F.row_number().over(edge)).filter(F.col("__rank_r") <= F.col(rest))
+    return joined.filter(F.col("__rank_b") < F.col(cut)).select(*df.columns).unionByName(at_edge.select(*df.columns))
 
 
 def running_sum(df: DataFrame, group: list[str], key: str, ties: list[str], value: str, out: str, buckets: int = BUCKETS) -> DataFrame:
     """``out``: the sum of ``value`` over the rows of the group that come before the row by (key, ties)."""
-    buckets_of = df.withColumn("__b", bucket_of(F.col(key), buckets))
-    upto = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = buckets_of.groupBy(*group, "__b").agg(F.sum(value).alias("__s"))
-    starts = starts.select(*group, "__b", F.coalesce(F.sum("__s").over(upto), F.lit(0)).alias("__start"))
-    within = Window.partitionBy(*group, "__b").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    buckets_of = df.withColumn("__rank_b", bucket_of(F.col(key), buckets))
+    upto = Window.partitionBy(*group).orderBy("__rank_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = buckets_of.groupBy(*group, "__rank_b").agg(F.sum(value).alias("__rank_s"))
+    starts = starts.select(*group, "__rank_b", F.coalesce(F.sum("__rank_s").over(upto), F.lit(0)).alias("__rank_start"))
+    within = Window.partitionBy(*group, "__rank_b").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        buckets_of.join(starts, [*group, "__b"])
-        .withColumn(out, F.col("__start") + F.coalesce(F.sum(value).over(within), F.lit(0)))
+        buckets_of.join(starts, [*group, "__rank_b"])
+        .withColumn(out, F.col("__rank_start") + F.coalesce(F.sum(value).over(within), F.lit(0)))
         .select(*df.columns, out)
     )
