@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -208,7 +209,7 @@ def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for h in _contexts(b.column("tail").to_pylist(), b.column("col").to_pylist(), b.column("inside").to_pylist()).values():
             bits[(h >> np.uint64(40)).astype(np.int64)] = True
-    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+    yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], names=["bits"])
 
 
 def _lookups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +250,7 @@ class TruncationModel:
         contexts = self.rows.select("col", "tail", "inside").distinct()
         bits = np.zeros(BLOOM_BITS, dtype=bool)
         for r in contexts.coalesce(8).mapInArrow(_bitmap, "bits binary").collect():  # 8 tables of BLOOM_BITS bits at most
-            bits |= np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8)).astype(bool)
+            bits |= np.unpackbits(np.frombuffer(zlib.decompress(r["bits"]), dtype=np.uint8)).astype(bool)
         shared = self.spark.sparkContext.broadcast(np.packbits(bits).tobytes())  # of fixed size
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
