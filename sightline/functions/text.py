@@ -16,13 +16,20 @@ def col(c: ColumnOrName) -> Column:
 
 
 def strip(c: ColumnOrName) -> Column:
-    """Without Unicode blanks at either end."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    """Without Unicode blanks at either end. Text between two visible ASCII characters, the usual case, is passed on as it is."""
+    t = col(c)
+    ends = [F.substring(t, 1, 1).between("!", "~"), F.substring(t, -1, 1).between("!", "~")]
+    return F.when(ends[0] & ends[1], t).otherwise(F.regexp_replace(t, r"(?U)^\s+|\s+$", ""))
 
 
 def canonical_token(c: ColumnOrName) -> Column:
-    """Lower case, no outer blanks, and ``_`` for every run of inner blanks or hyphens; an empty token is null."""
-    return F.nullif(F.regexp_replace(F.lower(strip(c)), r"(?U)[\s-]+", "_"), F.lit(""))
+    """Lower case, no outer blanks, and ``_`` for every run of inner blanks or hyphens; an empty token is null.
+
+    Tokens spelled canonically, nearly all, are passed on after one plain match.
+    """
+    t = col(c)
+    spelled = F.nullif(F.regexp_replace(F.lower(F.regexp_replace(t, r"(?U)^\s+|\s+$", "")), r"(?U)[\s-]+", "_"), F.lit(""))
+    return F.when(t.rlike("^[a-z0-9_]+$"), t).otherwise(spelled)
 
 
 def canonical_id(c: ColumnOrName) -> Column:
