@@ -44,8 +44,10 @@ MARK_PENALTY = 3.0
 #: Where a (language, column) has too few texts or no valley.
 DEFAULT_THRESHOLD = -1.5
 LOWEST, HIGHEST = -4.5, 0.0
-#: Characters of a text's end that are normalised to get its final context.
-REACH = 240
+#: Characters of a text's end that are normalised to get its final context; more if they shrink too much.
+REACH = 96
+#: Final contexts a worker remembers.
+REMEMBERED = 100_000
 
 #: Marks that systems put behind a cut.
 CUT_WORDS = "cut|eof|eot|truncated|snip|more|continued|end of file|abgeschnitten|gekürzt|cortado|coupé|tronqué"
@@ -62,7 +64,8 @@ FUNCTION_WORDS = {
     "fr": "le la les des et est une du dans pour qui sur au pas par ce il ne sont avec",
 }
 _WORDS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
-_DIGITS = {ord(c): "0" for c in "123456789"}
+_ALIKE = {ord(c): "0" for c in "123456789"} | {ord(c): " " for c in "\n\r\t\u00a0"}
+_ZEROS, _BLANKS = re.compile("0{2,}"), re.compile(" {2,}")
 
 
 def language(text: str) -> str:
@@ -89,14 +92,14 @@ def trimmed(text: str) -> tuple[str, bool]:
     return t, marked
 
 
+def _alike(text: str) -> str:
+    """Lower case, digits as 0 and blanks as a space, runs of either as one."""
+    return _BLANKS.sub(" ", _ZEROS.sub("0", text.translate(_ALIKE).lower()))
+
+
 def _codes(joined: str) -> np.ndarray:
-    """Characters as numbers: lower case, runs of digits and of blanks as one."""
-    text = joined.translate(_DIGITS).lower()
-    a = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-    blank = (a == 10) | (a == 13) | (a == 9) | (a == 160)
-    a = np.where(blank, np.uint32(32), a)
-    same = (a[1:] == a[:-1]) & ((a[1:] == 32) | (a[1:] == 48))
-    return np.concatenate([a[:1], a[1:][~same]]) if len(a) else a
+    """The characters of ``_alike`` as numbers."""
+    return np.frombuffer(_alike(joined).encode("utf-32-le"), dtype=np.uint32)
 
 
 def final_context(text: str) -> tuple[str, bool, bool]:
@@ -104,31 +107,38 @@ def final_context(text: str) -> tuple[str, bool, bool]:
     t, marked = trimmed(text)
     inside = t.count("{") > t.count("}")
     body = t if inside else _STOP.sub("", t)
-    end = _codes(PAD + body[-REACH:] if len(body) > REACH else PAD * WIDTH + body)
-    tail = "".join(map(chr, end[-WIDTH:].tolist()))
-    return tail, inside, marked
+    if len(body) > REACH:
+        end = _alike(body[-REACH:])
+        if len(end) > WIDTH:  # the first character may belong to a run that starts earlier
+            return end[-WIDTH:], inside, marked
+    return (PAD * WIDTH + _alike(body))[-WIDTH:], inside, marked
 
 
-def _hashes(a: np.ndarray) -> dict[int, np.ndarray]:
-    """For each order k and position i a hash of the k characters that end at i; positions before k - 1 are meaningless."""
-    base = np.uint64(0x9E3779B97F4A7C15)
+def _hashed(a: np.ndarray, at: np.ndarray, salt: np.ndarray, keep=None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each order k the positions among ``at`` (at least WIDTH - 1) that are left, and the hash of the k characters ending there.
+
+    ``keep`` tells which hashes are wanted; as a final context's shorter contexts are final ones too, a position that is dropped at
+    one order is dropped at all longer ones, and long hashes are only put together where they are needed.
+    """
+    base = 0x9E3779B97F4A7C15
+    power = {k: np.uint64(pow(base, k, 1 << 64)) for k in (1, 2, 4, 8, 16)}
+    out = {}
     with np.errstate(over="ignore"):
         one = (a.astype(np.uint64) + np.uint64(0x632BE5AB)) * np.uint64(0xBF58476D1CE4E5B9)
-
-        def join(left: np.ndarray, right: np.ndarray, k: int) -> np.ndarray:
-            """Hash of left context followed by the k characters of ``right``."""
-            power = np.uint64(pow(int(base), k, 1 << 64))
-            out = right.copy()
-            out[k:] += left[:-k] * power
-            return out
-
-        two = join(one, one, 1)
-        four = join(two, two, 2)
-        eight = join(four, four, 4)
-        twelve = join(eight, four, 4)
-        sixteen = join(eight, eight, 8)
-        h = {4: four, 8: eight, 12: twelve, 18: join(sixteen, two, 2), 24: join(sixteen, eight, 8)}
-        return {k: _mixed(v ^ np.uint64(k * 0x51ED270B)) for k, v in h.items()}
+        two = one.copy()
+        two[1:] += one[:-1] * power[1]
+        four = two.copy()
+        four[2:] += two[:-2] * power[2]
+        eight = lambda i: four[i] + four[i - 4] * power[4]
+        sixteen = lambda i: eight(i) + eight(i - 8) * power[8]
+        parts = {4: lambda i: four[i], 8: eight, 12: lambda i: four[i] + eight(i - 4) * power[4], 18: lambda i: two[i] + sixteen(i - 2) * power[2], 24: lambda i: eight(i) + sixteen(i - 8) * power[8]}
+        for k in ORDERS:
+            h = _mixed(_mixed(parts[k](at) ^ np.uint64(k * 0x51ED270B)) ^ salt)
+            if keep is not None:
+                hit = keep(h)
+                at, salt, h = at[hit], salt[hit], h[hit]
+            out[k] = (at, h)
+    return out
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -149,7 +159,7 @@ def _contexts(tails: list[str], columns: list[str], inside: list[bool]) -> dict[
     last = np.arange(1, len(tails) + 1) * WIDTH - 1
     salts = {c: (_salt(c, False), _salt(c, True)) for c in set(columns)}
     salt = np.array([salts[c][j] for c, j in zip(columns, inside)], dtype=np.uint64)
-    return {k: _mixed(h[last] ^ salt) for k, h in _hashes(a).items()} if tails else {k: np.array([], dtype=np.uint64) for k in ORDERS}
+    return {k: h for k, (_, h) in _hashed(a, last, salt).items()} if tails else {k: np.array([], dtype=np.uint64) for k in ORDERS}
 
 
 def _count(column: str, texts: list[str], weights: list[int], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,12 +187,9 @@ def _count(column: str, texts: list[str], weights: list[int], bits: np.ndarray)
     boundary[:-2] = stop[1:-1] & (a[2:] == 32) & ~inside[:-2] & ~stop[:-2]
     ends = is_end | boundary
     salt = _salt(column, inside)
-    at = np.flatnonzero(~pad)
+    positions = np.flatnonzero(~pad)
     keys, e, n = [], [], []
-    for k, h in _hashes(a).items():
-        x = _mixed(h[at] ^ salt[at])
-        hit = bits[(x >> np.uint64(40)).astype(np.int64)]
-        at, x = at[hit], x[hit]
+    for at, x in _hashed(a, positions, salt[positions], lambda h: bits[(h >> np.uint64(40)).astype(np.int64)]).values():
         w = weight[number[at]]
         keys.append(x)
         e.append(np.where(ends[at], w, 0))
@@ -192,10 +199,21 @@ def _count(column: str, texts: list[str], weights: list[int], bits: np.ndarray)
 
 
 def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row's text is replaced by its final context; equal texts of a batch are looked at once."""
+    """Each row's text is replaced by its final context; equal texts are looked at once."""
+    known: dict[str, tuple] = {}
+
+    def look(t: str | None) -> tuple:
+        if not t or t.isspace():
+            return ("", False, False), ""
+        if t not in known:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            known[t] = final_context(t), language(t)
+        return known[t]
+
     for b in batches:
         coded = b.column("text").dictionary_encode()
-        found = [(final_context(t), language(t)) if t and not t.isspace() else (("", False, False), "") for t in coded.dictionary.to_pylist()]
+        found = list(map(look, coded.dictionary.to_pylist()))
         index = coded.indices
         columns = [pa.array([f[0][0] for f in found]), pa.array([f[0][1] for f in found]), pa.array([f[0][2] for f in found]), pa.array([f[1] for f in found])]
         yield pa.RecordBatch.from_arrays(
