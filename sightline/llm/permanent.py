@@ -4,7 +4,8 @@ Each identifier gets a persisted random value when it is first seen; a later run
 doesn't hold (anti-join) and never changes a value. A record's value under a seed is ``(cohort + u) / cohorts``: the
 cohort is the snapshot of first sight, ``u`` a uniform number drawn from the persisted value and the seed. A sample of
 size L is the set of values up to the L-th smallest. New records only ever come in above all older ones, so this threshold
-never falls as snapshots are added, and what was picked stays picked. Runs with one seed and a smaller limit take a subset.
+never falls as snapshots are added, and what was picked stays picked. A store that is kept from run to run also shields
+picks from records that arrive late: what is new to it comes after all that it holds. Runs with one seed and a smaller limit take a subset.
 
 Defined results: rows without an identifier, without split train or without delivery time are never selected; a null limit
 takes all; a null seed counts as 0; a limit of 0 or less takes none; repeated deliveries count once, at the earliest.
@@ -12,7 +13,7 @@ takes all; a null seed counts as 0; a limit of 0 or less takes none; repeated de
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.functions.hashing import uniform
@@ -27,13 +28,17 @@ MAX_SNAPSHOTS = 10_000
 class PermanentStore:
     """The persisted table of identifiers and their values; appended to, never rewritten."""
 
-    def __init__(self, spark, path: str) -> None:
+    def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
         spark.createDataFrame([], STORE_SCHEMA).write.mode("append").parquet(path)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(STORE_SCHEMA).parquet(self.path)
 
+    def next_cohort(self) -> int:
+        last = self.read().agg(F.max("cohort")).first()[0]
+        return 0 if last is None else last + 1
+
     def insert(self, ids: DataFrame, cohort: int) -> None:
         """Give every identifier that isn't stored yet a value. Running it again changes nothing."""
         fresh = ids.select("instruction_id").filter("instruction_id IS NOT NULL").distinct().join(self.read(), "instruction_id", "left_anti")
@@ -56,16 +61,18 @@ def stable_samples(instructions: DataFrame, runs: DataFrame, snapshots: DataFram
     times = bounded_rows(snapshots.filter("until_at IS NOT NULL").select("snapshot_no", "until_at").distinct().orderBy("until_at", "snapshot_no"), MAX_SNAPSHOTS, "snapshots")
     seen = cut_lineage(first_deliveries(instructions), "p2-seen")
     store = PermanentStore(spark, store_path or scratch_path(spark, "p2-store"))
-    for cohort, at in enumerate(times):
-        store.insert(seen.filter(F.col("first_at") <= F.lit(at["until_at"])), cohort)
-    cohorts = max(len(times), 1)
+    start = store.next_cohort()  # identifiers that older runs stored stay ahead of all that are new to this one
+    for i, at in enumerate(times):
+        store.insert(seen.filter(F.col("first_at") <= F.lit(at["until_at"])), start + i)
     wanted = runs.filter("run_id IS NOT NULL").groupBy("run_id").agg(F.max("train_limit").cast("bigint").alias("k"), F.coalesce(F.max("subset_seed"), F.lit(0)).alias("seed"))
     bounded_rows(wanted, MAX_SNAPSHOTS, "runs")
-    values = (
-        store.read()
-        .join(F.broadcast(wanted))  # one row per run; checked above
-        .withColumn("value", (F.col("cohort") + uniform("seed", "permanent")) / F.lit(float(cohorts)))
-    )
-    picked = bottom_k(values, ["run_id"], "value", ["instruction_id"], "k")
-    later = spark.createDataFrame([(c, s["snapshot_no"]) for c in range(len(times)) for s in times[c:]], "cohort int, snapshot_no int")
-    return picked.join(F.broadcast(later), "cohort").select("run_id", "snapshot_no", "instruction_id")  # at most MAX_SNAPSHOTS squared / 2 rows
+    value = (F.col("cohort") + uniform("seed", "permanent")) / F.lit(float(max(start + len(times), 1)))
+    values = store.read().join(F.broadcast(wanted)).withColumn("value", value)  # one row per run; checked above
+    if start == 0:
+        picked = bottom_k(values, ["run_id"], "value", ["instruction_id"], "k")
+        later = spark.createDataFrame([(c, s["snapshot_no"]) for c in range(len(times)) for s in times[c:]], "cohort int, snapshot_no int")
+        return picked.join(F.broadcast(later), "cohort").select("run_id", "snapshot_no", "instruction_id")  # at most MAX_SNAPSHOTS squared / 2 rows
+    # with an older store a snapshot may hold records that were stored after those of later snapshots: each is ranked by itself
+    holds = F.filter(F.array(*(F.struct(F.lit(s["snapshot_no"]).alias("snapshot_no"), F.lit(s["until_at"]).alias("until_at")) for s in times)), lambda s: F.col("first_at") <= s["until_at"])
+    pools = values.join(seen, "instruction_id").select("run_id", "k", "value", "instruction_id", F.explode(holds).alias("s")).select("run_id", "k", "value", "instruction_id", "s.snapshot_no")
+    return bottom_k(cut_lineage(pools, "p2-pools"), ["run_id", "snapshot_no"], "value", ["instruction_id"], "k").select("run_id", "snapshot_no", "instruction_id")

@@ -82,11 +82,25 @@ def test_permanent_numbers(spark):
     assert len(got["large", 1]) < 150 and got["large", 1] < got["large", 2] and len(got["large", 3]) == 150
     assert got["small", 2] <= got["large", 2] and got["other", 1] != got["small", 1]
     assert len(got["all", 3]) == 500 and got["over", 3] == got["all", 3] and ("none", 3) not in got
-    fewer = picks(spark, rows.filter("delivered_at < timestamp'2025-01-15'"), runs)
-    assert fewer["small", 1] == got["small", 1] and fewer["large", 2] <= got["large", 3]
     assert picks(spark, rows.filter("false"), runs) == {}
 
 
+def test_late_records_displace_nothing(spark):
+    path, rows = scratch_path(spark, "kept"), deliveries(spark)
+    runs = spark.createDataFrame([("small", 30, 42), ("large", 150, 42), ("all", None, 42)], RUNS)
+
+    def at(data):
+        out: dict = {}
+        for r in stable_samples(data, runs, snapshots(spark), path).collect():
+            out.setdefault((r.run_id, r.snapshot_no), set()).add(r.instruction_id)
+        return out
+
+    first = at(rows.filter("delivery_id % 3 > 0 AND delivery_id < 600"))
+    second = at(rows)
+    assert all(first[k] <= second[k] for k in first) and len(second["all", 3]) == 500
+    assert first["small", 3] == second["small", 3] and at(rows) == second
+
+
 def test_store_never_changes(spark):
     store = PermanentStore(spark, scratch_path(spark, "test"))
     ids = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "instruction_id string")
