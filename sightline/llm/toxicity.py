@@ -38,16 +38,18 @@ from sightline.functions.text import canonical_token
 from sightline.storage import cut_lineage
 
 MAX_TRAIN = 20_000
-FOLDS = 4
-ROUNDS = 3
+FOLDS = 3
+ROUNDS = 2
 DISCOUNT = 0.75
 NEAR = 0.997
+#: Log-odds per word beyond which a held-out segment is taken for toxic, or below its negative for ordinary; between, it trains neither.
+SURE = 0.5
 #: Weight of the shared counts in either class's last backoff. It is the same for both, so that a word that no
 #: labelled text holds says nothing, however much smaller one class is.
 SHARED = 0.4
-WINDOW = 40
+WINDOW = 20
 EMPTY_SCORE = -99.0
-CACHE = 100_000
+CACHE = 200_000
 
 #: Letters of other scripts that look like Latin ones, and signs used for letters.
 LOOK_ALIKE = str.maketrans("аеорсухіѕјԁһвкмнтοαερικντυχ", "aeopcyxisjdhbkmhtoaepikvtux")
@@ -60,26 +62,37 @@ _DOTTED = re.compile(r"(?<!\w)\w(?:[.\-_·]\w){2,}(?!\w)")
 _SPACED = re.compile(r"(?<!\w)\w(?: \w){3,}(?!\w)")
 _SEGMENT = re.compile(r"(?<=[.!?…])\s+|[\n\r]+|\s{0,3}\|\s|(?<=[.!?])(?=<)")
 _WORD = re.compile(r"[^\W_](?:[^\W_]|[*@$!|](?=[^\W_*@$!|]|[*@$]+[^\W_])|['’\-](?=[^\W_]))*")
+#: Numbers, times and codes such as A-1234b; digits within a word are none.
+_NUMBER = re.compile(r"(?<![^\W_])(?:[A-Za-z]-)?\d[\d.,:%]*[a-h]?(?![^\W_])")
 _REPEAT = re.compile(r"(.)\1{2,}")
 _SIGNED = re.compile(r"(?<=[a-z])[013457@$!|]+(?=[a-z])|^[@$](?=[a-z])")
 MASKED = "<masked>"
 
 
-def cleaned(text: str) -> str:
+def unwrapped(text: str) -> str:
+    """Without entities and tags, and with double encoding repaired."""
     if "&" in text:
         text = html.unescape(text)
     if "<" in text:
         text = _TAG.sub(" \n", text)
     if "Ã" in text or "Â" in text:
         text = _DOUBLE.sub(lambda m: m.group(0).encode("latin-1").decode("utf-8", "ignore"), text)
+    return text
+
+
+def folded(text: str) -> str:
+    """Lower case, look-alikes and accents as plain letters, spaced and dotted letters joined."""
     if not text.isascii():
         text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).casefold().translate(LOOK_ALIKE)
         text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
-    text = text.lower()
-    text = _DOTTED.sub(lambda m: re.sub(r"[.\-_·]", "", m.group(0)), text)
+    text = _DOTTED.sub(lambda m: re.sub(r"[.\-_·]", "", m.group(0)), text.lower())
     return _SPACED.sub(lambda m: m.group(0).replace(" ", ""), text)
 
 
+def cleaned(text: str) -> str:
+    return folded(unwrapped(text))
+
+
 def words(segment: str) -> tuple[str, ...]:
     out = []
     for w in _WORD.findall(segment):
@@ -96,16 +109,23 @@ def words(segment: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def sentences(text: str) -> list[str]:
+    """Sentences and lines, with numbers and codes, which are no words, as #: sentences that differ in them alone become equal."""
+    return _SEGMENT.split(_NUMBER.sub("#", unwrapped(text)))
+
+
+def windows(sentence: str) -> list[tuple[str, ...]]:
+    """The normalised words of a sentence; overlapping windows of a long one."""
+    w = words(folded(sentence))
+    if len(w) <= WINDOW:
+        return [w] if w else []
+    return [w[i : i + WINDOW] for i in range(0, len(w) - WINDOW // 2, WINDOW // 2)]
+
+
 def segments(text: str) -> Iterator[tuple[str, ...]]:
-    """Normalised segments: sentences and lines, and overlapping windows of long ones."""
-    for piece in _SEGMENT.split(cleaned(text)):
-        w = words(piece)
-        if len(w) <= WINDOW:
-            if w:
-                yield w
-        else:
-            for i in range(0, len(w) - WINDOW // 2, WINDOW // 2):
-                yield w[i : i + WINDOW]
+    """Normalised segments of a text."""
+    for sentence in sentences(text):
+        yield from windows(sentence)
 
 
 class KneserNey:
@@ -198,12 +218,16 @@ def fit(docs: list[tuple[int, bool, str]]) -> tuple[Models | None, float, dict[s
     cut = [c for c in cut if c[2]]
     if len({t for _, t, _ in cut}) < 2:
         return None, math.inf, {}
-    ordinary_seen = {w for _, toxic, ws in cut if not toxic for w in ws}
-    suspects = {w for _, toxic, ws in cut if toxic for w in ws if w not in ordinary_seen}
+    seen: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0])
+    for _, toxic, ws in cut:
+        for w in ws:
+            seen[w][toxic] += 1
+    first = {w for w, (good, bad) in seen.items() if bad > good}  # more often in toxic documents, although these are few
+    suspects, undecided = first, set()
 
     def trained(leave: int | None) -> Models | None:
         bad = Counter(w for f, t, ws in cut if t and f != leave for w in ws if w in suspects)
-        good = Counter(w for f, t, ws in cut if f != leave for w in ws if w not in suspects)
+        good = Counter(w for f, t, ws in cut if f != leave for w in ws if w not in suspects and w not in undecided)
         return Models(bad, good) if bad and good else None
 
     best, quality = 0.0, {}
@@ -219,13 +243,13 @@ def fit(docs: list[tuple[int, bool, str]]) -> tuple[Models | None, float, dict[s
                 for w in ws:
                     if w not in known:
                         known[w] = models.score(w) if models else EMPTY_SCORE
-                    if toxic and w not in ordinary_seen:
+                    if w in first:
                         values[w] = max(known[w], values.get(w, EMPTY_SCORE))
                 scored.append((max(known[w] for w in ws), toxic))
         best, quality = _best_threshold(scored)
-        kept = {w for w, x in values.items() if x > max(0.0, best / 2)}
+        kept = {w for w, x in values.items() if x > max(SURE, best / 2)}
         if turn < ROUNDS and kept:
-            suspects = kept
+            suspects, undecided = kept, {w for w, x in values.items() if w not in kept and x > -SURE}
     return trained(None), best, quality
 
 
@@ -259,17 +283,17 @@ class ToxicityModel:
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             models = pickle.loads(zlib.decompress(shared.value))
-            known: dict[tuple[str, ...], float] = {}
+            known: dict[str, float] = {}
 
             def of(text: str | None) -> float:
                 worst = EMPTY_SCORE
                 if models and text:
-                    for w in segments(text):
-                        x = known.get(w)
+                    for sentence in sentences(text):
+                        x = known.get(sentence)
                         if x is None:
                             if len(known) >= CACHE:
                                 known.clear()
-                            x = known[w] = models.score(w)
+                            x = known[sentence] = max(map(models.score, windows(sentence)), default=EMPTY_SCORE)
                         worst = max(worst, x)
                 return worst
 
