@@ -22,7 +22,7 @@ from sightline.operators.ranking import bottom_k
 from sightline.storage import bounded_rows, cut_lineage, scratch_path
 
 STORE_SCHEMA = "instruction_id string, permanent string, cohort int"
-MAX_SNAPSHOTS = 10_000
+MAX_SNAPSHOTS, MAX_RUNS = 1_000, 1_000
 
 
 class PermanentStore:
@@ -65,9 +65,10 @@ def stable_samples(instructions: DataFrame, runs: DataFrame, snapshots: DataFram
     for i, at in enumerate(times):
         store.insert(seen.filter(F.col("first_at") <= F.lit(at["until_at"])), start + i)
     wanted = runs.filter("run_id IS NOT NULL").groupBy("run_id").agg(F.max("train_limit").cast("bigint").alias("k"), F.coalesce(F.max("subset_seed"), F.lit(0)).alias("seed"))
-    bounded_rows(wanted, MAX_SNAPSHOTS, "runs")
+    each = bounded_rows(wanted.orderBy("run_id"), MAX_RUNS, "runs")
+    by_run = F.explode(F.array(*(F.struct(F.lit(r["run_id"]).alias("run_id"), F.lit(r["k"]).cast("bigint").alias("k"), F.lit(r["seed"]).alias("seed")) for r in each)).cast("array<struct<run_id:string,k:bigint,seed:bigint>>"))
     value = (F.col("cohort") + uniform("seed", "permanent")) / F.lit(float(max(start + len(times), 1)))
-    values = store.read().join(F.broadcast(wanted)).withColumn("value", value)  # one row per run; checked above
+    values = store.read().withColumn("r", by_run).select("instruction_id", "permanent", "cohort", "r.*").withColumn("value", value)
     if start == 0:
         picked = bottom_k(values, ["run_id"], "value", ["instruction_id"], "k")
         later = spark.createDataFrame([(c, s["snapshot_no"]) for c in range(len(times)) for s in times[c:]], "cohort int, snapshot_no int")

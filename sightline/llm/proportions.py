@@ -25,7 +25,6 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sightline.functions.hashing import uniform
 from sightline.functions.text import canonical_id, canonical_split, canonical_token
@@ -38,6 +37,9 @@ OTHER = ""
 #: The mark of "any" in keys.
 ANY = "*"
 MAX_TARGETS = 20_000
+#: Rows of a strata table that may be broadcast, a few MB; parts of a stratum where it is shuffled instead.
+MAX_BROADCAST = 50_000
+SALTS = 32
 
 
 def train_records(instructions: DataFrame, named: dict[str, list[str]]) -> DataFrame:
@@ -198,8 +200,10 @@ class ProportionalSample:
         rates = []
         for name, run in self.runs.items():
             margins: dict[tuple, list] = defaultdict(list)
+            needed = np.zeros(len(self.strata), dtype=bool)
             for members, t in run["targets"]:
                 margins[tuple(t[a] == ANY for a in ATTRIBUTES)].append((members, t["target_share"] * run["limit"]))
+                needed[members] |= t["min_count"] > 0
             full = []
             for margin in margins.values():
                 seen = np.unique(np.concatenate([m for m, _ in margin])) if margin else np.array([], dtype=int)
@@ -208,14 +212,24 @@ class ProportionalSample:
             x = rake(self.supply, full, run["limit"])
             for j, stratum in enumerate(self.strata):
                 share = min(x[j] / self.supply[j], 1.0) if self.supply[j] else 0.0
+                if share <= 0 and not needed[j]:
+                    continue  # neither the draw nor the repair can take from it
                 weight = -math.log1p(-min(share, 1 - 1e-12)) if share > 0 else 1e-12
                 rates.append((name, j, *stratum, float(weight), int(run["limit"]), int(run["seed"])))
         schema = "run_id string, stratum int, task_family string, condition string, category string, weight double, k bigint, seed bigint"
-        rated = self.records.join(self.spark.createDataFrame(rates, schema), ATTRIBUTES).select("run_id", "stratum", "instruction_id", "cells", "weight", "k", uniform("seed", "instruction_id").alias("u"))
+        rated = self._with_small(self.records.select("instruction_id", *ATTRIBUTES), rates, schema, ATTRIBUTES).select("run_id", "stratum", "instruction_id", "weight", "k", uniform("seed", "instruction_id").alias("u"))
         at = -F.log1p(-F.col("u")) / F.col("weight")
         self.rated = cut_lineage(rated.withColumn("key", at / (at + 1)).drop("weight"), "p1-rated")
         return bottom_k(self.rated, ["run_id"], "key", ["u", "instruction_id"], "k")
 
+    def _with_small(self, left: DataFrame, rows: list[tuple], schema: str, on: list[str]) -> DataFrame:
+        """Inner join with strata rows: broadcast up to MAX_BROADCAST of them, beyond that shuffled with hot strata salted."""
+        right = self.spark.createDataFrame(rows, schema)
+        if len(rows) <= MAX_BROADCAST:
+            return left.join(F.broadcast(right), on)
+        salted = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return left.withColumn("__salt", F.pmod(F.xxhash64("instruction_id"), F.lit(SALTS)).cast("int")).join(salted, [*on, "__salt"]).drop("__salt")
+
     def _repaired(self, drawn: DataFrame) -> DataFrame:
         counts = defaultdict(lambda: np.zeros(len(self.strata), dtype=np.int64))
         for r in bounded_rows(drawn.groupBy("run_id", "stratum").agg(F.count("*").alias("n")), 5_000_000, "strata of runs"):
@@ -225,9 +239,9 @@ class ProportionalSample:
             goals = [(m, t["target_share"] * run["limit"], t["min_count"]) for m, t in run["targets"]]
             taken = repair(counts[name], self.supply, goals, run["limit"])
             final += [(name, j, int(n)) for j, n in enumerate(taken) if n > 0]
-        wanted = self.spark.createDataFrame(final, "run_id string, stratum int, take bigint")
-        picked = bottom_k(self.rated.drop("k").join(wanted, ["run_id", "stratum"]), ["run_id", "stratum"], "u", ["instruction_id"], "take", buckets=256)
-        return cut_lineage(picked.select("run_id", "instruction_id", "cells"), "p1-sample")
+        wanted = self._with_small(self.rated.drop("k"), final, "run_id string, stratum int, take bigint", ["run_id", "stratum"])
+        picked = bottom_k(wanted, ["run_id", "stratum"], "u", ["instruction_id"], "take", buckets=256).select("run_id", "instruction_id")
+        return cut_lineage(picked.join(self.records.select("instruction_id", "cells"), "instruction_id"), "p1-sample")
 
     def report(self) -> DataFrame:
         """One row per target: need, supply and sampled count, the residual gap, and whether supply is too small for the need."""
@@ -236,7 +250,7 @@ class ProportionalSample:
             asked = self.runs[t["run_id"]]["asked"]
             need = max(t["target_share"] * (asked or 0), float(t["min_count"]))
             rows.append((t["target_id"], t["run_id"], *(t[a] for a in ATTRIBUTES), float(t["target_share"]), t["min_count"], need, self.runs[t["run_id"]]["limit"]))
-        schema = T._parse_datatype_string("target_id bigint, run_id string, task_family string, condition string, category string, target_share double, min_count bigint, need double, run_limit bigint")
+        schema = "target_id bigint, run_id string, task_family string, condition string, category string, target_share double, min_count bigint, need double, run_limit bigint"
         targets = self.spark.createDataFrame(rows, schema)
         supplied = count_by_target(self.records, targets, []).withColumnRenamed("matched", "supply")
         sampled = count_by_target(self.sample, targets.select("target_id", "run_id", *ATTRIBUTES), ["run_id"]).select("target_id", F.col("matched").alias("sampled"))

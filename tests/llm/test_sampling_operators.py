@@ -54,6 +54,15 @@ def test_proportions(spark):
     assert not report[1].unmeetable and report[1].supply == sum(1 for i in range(600) if i % 6 and i % 2 == 0) + 1  # rec1 was delivered under both families
 
 
+def test_proportions_beyond_broadcast(spark, monkeypatch):
+    from sightline.llm import proportions
+
+    targets = [(1, "r", "A", None, None, 0.25, 0), (2, "r", "b c", None, None, 0.75, 0)]
+    want, _ = sampled(spark, deliveries(spark), targets)
+    monkeypatch.setattr(proportions, "MAX_BROADCAST", 0)
+    assert sampled(spark, deliveries(spark), targets)[0] == want
+
+
 def test_proportions_edges(spark):
     targets = [(1, "r", None, None, None, None, None), (2, "nobody", "a", None, None, 0.5, 1), (1, "r", None, None, None, None, None)]
     ids, report = sampled(spark, deliveries(spark), targets, limit=None)
