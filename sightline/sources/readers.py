@@ -20,25 +20,33 @@ from sightline.operators.validate import resolve_headers
 CORRUPT = "_corrupt_record"
 
 
-def jsonl_strict(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def _schema(spark: SparkSession, schema: StructType | str) -> StructType:
+    return spark.createDataFrame([], schema).schema
+
+
+def _with_corrupt(spark: SparkSession, schema: StructType | str) -> StructType:
+    return StructType([*_schema(spark, schema).fields]).add(CORRUPT, "string")
+
+
+def jsonl_strict(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Fails on the first bad line; blank lines are skipped."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def jsonl_checked(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def jsonl_checked(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """All lines, with the text of a bad one in _corrupt_record. Arrays and scalars are bad: a record is an object."""
     return _objects(spark, path, schema)
 
 
-def _objects(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def _objects(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     lines = spark.read.text(path).filter(strip("value") != "")
-    parsed = F.from_json(F.when(strip("value").startswith("{"), F.col("value")), StructType([*schema.fields]).add(CORRUPT, "string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    parsed = F.from_json(F.when(strip("value").startswith("{"), F.col("value")), _with_corrupt(spark, schema), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     out = lines.select(F.col("value"), parsed.alias("r"))
     bad = F.when(F.col("r").isNull() | F.col(f"r.{CORRUPT}").isNotNull(), F.col("value"))
-    return out.select(*(F.col(f"r.{f.name}").alias(f.name) for f in schema.fields), bad.alias(CORRUPT))
+    return out.select(*(F.col(f"r.{f.name}").alias(f.name) for f in _schema(spark, schema).fields), bad.alias(CORRUPT))
 
 
-def jsonl_permissive(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
+def jsonl_permissive(spark: SparkSession, path: str, schema: StructType | str) -> tuple[DataFrame, DataFrame]:
     """(records, errors with a message). A missing path is one error row, not an exception."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
@@ -54,16 +62,16 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.filter(strip("value") != "").select("file", (F.col("i") + 1).alias("row_number"), "value")
 
 
-def jsonl_torn_tail(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def jsonl_torn_tail(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Records of logs whose last line may be torn; a bad line elsewhere raises."""
     last = Window.partitionBy("file").orderBy(F.desc("row_number"))
     lines = numbered_lines(spark, path).withColumn("from_end", F.row_number().over(last))
-    ok = StructType([*schema.fields]).add(CORRUPT, "string")
+    ok = _with_corrupt(spark, schema)
     rows = lines.withColumn("r", F.from_json("value", ok, {"columnNameOfCorruptRecord": CORRUPT}))
     bad = F.col("r").isNull() | F.col(f"r.{CORRUPT}").isNotNull()
     message = F.concat(F.lit("bad line "), F.col("row_number"), F.lit(" of "), F.col("file"))
     checked = rows.withColumn("keep", F.when(bad & (F.col("from_end") > 1), F.raise_error(message).cast("boolean")).otherwise(~bad))
-    return checked.filter("keep").select(*(F.col(f"r.{f.name}").alias(f.name) for f in schema.fields))
+    return checked.filter("keep").select(*(F.col(f"r.{f.name}").alias(f.name) for f in _schema(spark, schema).fields))
 
 
 def unique_keys(rows: DataFrame, key: str, required: list[str]) -> DataFrame:

@@ -46,7 +46,7 @@ def test_hash_keys(spark):
 @pytest.mark.parametrize(
     ("what", "cases"),
     [
-        ("said_condition", [("There are no annotated anomalies.", "normal"), ("Yes, there is an anomaly.", "anomalous"), ('{"condition": "Pass"}', "normal"), ('{"pass": false}', "anomalous"), ('{"defect": null}', "normal"), ('{"defect_type": "none"}', "normal"), ("This looks normal to me", "normal"), ("It should not pass.", "anomalous"), ("a cat", None), ('```json\n{"status": "rejected"}\n```', "anomalous"), ('{"result": "the item is defective"}', "anomalous"), ('{"condition": "normal"} {"x": 1}', "normal"), ("", None)]),
+        ("said_condition", [("There are no annotated anomalies.", "normal"), ("Yes, there is an anomaly.", "anomalous"), ('{"condition": "Pass"}', "normal"), ('{"pass": false}', "anomalous"), ('{"defect": null}', "normal"), ('{"defect_type": "none"}', "normal"), ("This looks normal to me", "normal"), ("It should not pass.", "anomalous"), ("a cat", None), ('```json\n{"status": "rejected"}\n```', "anomalous"), ('{"result": "the item is defective"}', "anomalous"), ('{"condition": "normal"} {"x": 1}', None), ("", None)]),
         ("said_product", [("printed circuit board 2", "pcb2"), ("A pipe fryum.", "pipe_fryum"), ('{"category": "Chewing gum"}', "chewinggum"), ("macaroni type 1", "macaroni1"), ("some pasta", None), ('[{"category": "candle"}]', "candle")]),
         ("said_location", [("upper-left corner", "top_left"), ("second row, third column", "center_right"), ("second row, second column", "center"), ('{"location": "middle"}', "center"), ('{"region": "lower right"}', "bottom_right"), ("first row and the 2nd column", "top_center"), ("nowhere", None)]),
         ("said_severity", [('{"severity": "mild"}', "minor"), ("major crack, minor dust", "major"), ('{"visual_severity": "odd"} moderate', "moderate"), ("fine", None)]),

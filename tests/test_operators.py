@@ -231,11 +231,11 @@ def test_gates(spark):
 
 
 def test_message_rules(spark):
-    from sightline.schemas import INSTRUCTION
+    from sightline.schemas import MESSAGES
 
     ok = [("user", [("image", "i", None), ("text", None, "q")]), ("assistant", [("text", None, "a")])]
     bad = [("user", [("text", None, "q")]), ("assistant", [("text", "i", "a")])]
-    df = spark.createDataFrame([(m,) for m in (ok, bad, ok[:1], [])], INSTRUCTION["messages"].dataType and f"messages {INSTRUCTION['messages'].dataType.simpleString()}")
+    df = spark.createDataFrame([(m,) for m in (ok, bad, ok[:1], [])], f"messages {MESSAGES}")
     got = [r[0] for r in df.select(C.message_problems()).collect()]
     assert got[0] == [] and "user_parts" in got[1] and "mixed_part" in got[1] and "two_messages" in got[2] and "two_messages" in got[3]
     f = df.select(*(c.alias(k) for k, c in C.message_fields().items())).first()

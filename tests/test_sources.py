@@ -3,12 +3,11 @@ import tarfile
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sightline.sources import acquire, readers, sinks
 from sightline.streaming import resume
 
-S = T.StructType().add("id", "string").add("n", "bigint")
+S = "id string, n bigint"
 
 
 def put(tmp_path, name, text):
