@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.storage import cut_lineage
+
 BUCKETS = 4096
 
 
@@ -21,25 +23,28 @@ def bottom_k(df: DataFrame, group: list[str], key: str, ties: list[str], k: str,
     """Of each group the ``k`` rows that come first by (key, ties).
 
     ``key`` is a column of doubles in [0, 1), ``k`` a column with one value per group (null: all rows). Group columns must
-    not be null. The input is read twice, so pass a table rather than a long plan.
+    not be null, and (key, ties) must tell the rows of a group apart. Bucket totals give each group's last bucket, the rows of that bucket
+    its last row, and a scan takes what comes up to there. The input is read three times, so pass a table rather than a long plan.
     """
-    cut, rest = "__rank_cut", "__rank_rest"
-    buckets_of = df.withColumn("__rank_b", bucket_of(F.col(key), buckets))
-    sums = buckets_of.groupBy(*group, "__rank_b").agg(F.count("*").alias("__rank_n"), F.max(F.col(k).cast("bigint")).alias("__rank_k"))
-    upto = Window.partitionBy(*group).orderBy("__rank_b").rowsBetween(Window.unboundedPreceding, -1)
+    at, last = "__rank_b", F.struct(key, *ties)
+    rows = df.withColumn(at, bucket_of(F.col(key), buckets))
+    sums = rows.groupBy(*group, at).agg(F.count("*").alias("__rank_n"), F.max(F.col(k).cast("bigint")).alias("__rank_k"))
+    upto = Window.partitionBy(*group).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    over = F.col("__rank_before") + F.col("__rank_n") > F.col("__rank_k")
     cuts = (
         sums.withColumn("__rank_before", F.coalesce(F.sum("__rank_n").over(upto), F.lit(0)))
         .groupBy(*group)
-        .agg(
-            F.coalesce(F.min(F.when(F.col("__rank_before") + F.col("__rank_n") > F.col("__rank_k"), F.col("__rank_b"))), F.lit(buckets)).alias(cut),
-            F.min(F.when(F.col("__rank_before") + F.col("__rank_n") > F.col("__rank_k"), F.struct("__rank_b", (F.col("__rank_k") - F.col("__rank_before")).alias("r")))).alias(rest),
-        )
-        .select(*group, cut, F.col(f"{rest}.r").alias(rest))
+        .agg(F.min(F.when(over, F.struct(F.col(at).alias("cut"), (F.col("__rank_k") - F.col("__rank_before")).alias("rest")))).alias("__rank_c"))
+        .select(*group, F.coalesce("__rank_c.cut", F.lit(buckets)).alias("__rank_cut"), F.col("__rank_c.rest").alias("__rank_rest"))
     )
-    joined = buckets_of.join(cuts, group).filter(F.col("__rank_b") <= F.col(cut))
-    edge = Window.partitionBy(*group).orderBy(key, *ties)
-    at_edge = joined.filter(F.col("__rank_b") == F.col(cut)).withColumn("__rank_r", F.row_number().over(edge)).filter(F.col("__rank_r") <= F.col(rest))
-    return joined.filter(F.col("__rank_b") < F.col(cut)).select(*df.columns).unionByName(at_edge.select(*df.columns))
+    # as tables their size is known before the joins are planned, so that few groups are broadcast and rows need no shuffle
+    cuts = cut_lineage(cuts, "cuts")
+    edge = rows.join(cuts, group).filter(F.col(at) == F.col("__rank_cut")).select(*group, "__rank_rest", last.alias("__rank_last"))
+    place = F.row_number().over(Window.partitionBy(*group).orderBy("__rank_last"))  # one bucket per group
+    ends = edge.withColumn("__rank_r", place).filter(F.col("__rank_r") == F.col("__rank_rest")).select(*group, "__rank_last")
+    limits = cut_lineage(cuts.drop("__rank_rest").join(ends, group, "left"), "limits")
+    taken = (F.col(at) < F.col("__rank_cut")) | ((F.col(at) == F.col("__rank_cut")) & (last <= F.col("__rank_last")))
+    return rows.join(limits, group).filter(taken).select(*df.columns)
 
 
 def running_sum(df: DataFrame, group: list[str], key: str, ties: list[str], value: str, out: str, buckets: int = BUCKETS) -> DataFrame:
@@ -50,7 +55,7 @@ def running_sum(df: DataFrame, group: list[str], key: str, ties: list[str], valu
     starts = starts.select(*group, "__rank_b", F.coalesce(F.sum("__rank_s").over(upto), F.lit(0)).alias("__rank_start"))
     within = Window.partitionBy(*group, "__rank_b").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        buckets_of.join(starts, [*group, "__rank_b"])
+        buckets_of.join(cut_lineage(starts, "starts"), [*group, "__rank_b"])
         .withColumn(out, F.col("__rank_start") + F.coalesce(F.sum(value).over(within), F.lit(0)))
         .select(*df.columns, out)
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions.hashing import stable_key, tie_breaker, unit
 from sightline.operators.ranking import bottom_k, running_sum
+from sightline.storage import cut_lineage
 
 SPLITS = ["train", "validation", "test"]
 
@@ -139,13 +140,13 @@ def floor_then_fill(rows: DataFrame, quotas: DataFrame, seed: int, floor: int, b
     """
     keys = by or ["task_family"]
     asked = rows.join(quotas.select(*keys).distinct(), keys, "left_semi")
-    floors = category_floor(asked, floor, seed)
+    floors = cut_lineage(category_floor(asked, floor, seed), "floors")
     room = quotas.join(floors.groupBy(*keys).agg(F.count("*").alias("n")), keys, "left").select(*keys, (F.col("quota") - F.coalesce("n", F.lit(0))).alias("room"))
     over = room.filter("room < 0").limit(1).collect()
     if over:
         raise ValueError(f"the floor exceeds the quota of {[over[0][k] for k in keys]}")
     rest = asked.join(floors.select("instruction_id", "task_family"), ["instruction_id", "task_family"], "left_anti").join(room, keys)
-    filled = _best(rest, keys, "room", seed).select(*rows.columns)
+    filled = cut_lineage(_best(cut_lineage(rest, "rest"), keys, "room", seed).select(*rows.columns), "filled")
     return floors.select(*rows.columns).withColumn("is_floor", F.lit(True)).unionByName(filled.withColumn("is_floor", F.lit(False)))
 
 
