@@ -101,6 +101,53 @@ def corpus_fingerprint(df: DataFrame, ident: str, by: list[str], buckets: int =
     return each.groupBy(*by).agg(F.sum("n").alias("n"), F.sha2(lines, 256).alias("fingerprint"))
 
 
+def selection_audit(records: DataFrame, runs: DataFrame) -> DataFrame:
+    """What each training run selects: (run_id, selection, kind, task_family, value, n, fingerprint).
+
+    ``records``: split, instruction_id, image_id, task_family, category, condition; ``runs``: run_id, subset_seed, train_limit, validation_limit,
+    train_task_quotas. Train takes its quotas, else its limit, validation its limit with the next seed, each the first by sha256. Kinds: records
+    (with the digest of its identifiers), ids, images, source (the split that is selected from), and counts by task, category and condition.
+    A run whose quotas exceed the supply selects nothing: it has short_quota rows (value: the quota, n: the supply) instead.
+    """
+    from sightline.functions.hashing import tie_breaker, unit
+    from sightline.operators.ranking import bottom_k
+    from sightline.storage import bounded_rows, cut_lineage
+
+    spark, asked, spine = records.sparkSession, [], []
+    for r in bounded_rows(runs.select("run_id", "subset_seed", "train_limit", "validation_limit", "train_task_quotas"), what="train_runs"):
+        spine += [(r.run_id, "train"), (r.run_id, "validation")]
+        asked.append((r.run_id, "validation", r.subset_seed + 1, None, r.validation_limit))
+        quotas = r.train_task_quotas
+        asked += [(r.run_id, "train", r.subset_seed, None, r.train_limit)] if quotas is None else [(r.run_id, "train", r.subset_seed, t, k) for t, k in quotas.items()]
+    limits = cut_lineage(spark.createDataFrame(asked, "run_id string, selection string, seed bigint, asked_task string, k bigint"), "limits")
+    supply = records.filter("split = 'train' AND task_family IS NOT NULL").groupBy(F.col("task_family").alias("asked_task")).agg(F.count("*").alias("n"))
+    short = limits.filter("asked_task IS NOT NULL").join(supply, "asked_task", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint"))).filter("n < k")
+    short = cut_lineage(short.select("run_id", "selection", "asked_task", "k", "n"), "short")
+    whole = lambda df: df.join(short.select("run_id").distinct(), "run_id", "left_anti")
+
+    limits = F.broadcast(whole(limits))  # bounded above
+    mine = (F.col("split") == F.col("selection")) & (F.col("asked_task").isNull() | (F.col("asked_task") == F.col("task_family")))
+    keyed = records.join(limits, mine).withColumn("__g", F.coalesce("asked_task", F.lit(""))).withColumn("__u", unit(tie_breaker(F.col("seed"), "instruction_id")))
+    keyed = keyed.select("run_id", "selection", "__g", "__u", "k", *(c for c in records.columns if c != "split"))
+    by = ["run_id", "selection"]
+    taken = cut_lineage(bottom_k(keyed, [*by, "__g"], "__u", ["instruction_id"], "k").drop("__g", "__u", "k"), "selected")
+
+    none = F.lit(None).cast("string")
+    row = lambda kind, task, value, n, digest: F.struct(F.lit(kind).alias("kind"), task.alias("task_family"), value.alias("value"), n.alias("n"), digest.alias("fingerprint"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    heads = whole(spark.createDataFrame(spine, "run_id string, selection string")).join(corpus_fingerprint(taken, "instruction_id", by), by, "left")
+    sizes = taken.groupBy(*by).agg(F.count_distinct("instruction_id").alias("ids"), F.count_distinct("image_id").alias("images"))
+    source = corpus_fingerprint(records, "instruction_id", ["split"]).toDF("selection", "source_n", "source_print")
+    heads = heads.join(sizes, by, "left").join(source, "selection", "left")
+    heads = heads.select(*by, F.explode(F.array(row("records", none, none, zero(F.col("n")), F.col("fingerprint")), row("ids", none, none, zero(F.col("ids")), none), row("images", none, none, zero(F.col("images")), none), row("source", none, none, zero(F.col("source_n")), F.col("source_print")))).alias("r"))
+    combos = cut_lineage(taken.groupBy(*by, "task_family", "category", "condition").agg(F.count("*").alias("n")), "combos")
+    n, task = F.col("n"), F.col("task_family")
+    cells = [row("task_family", none, task, n, none), *(row(c, none, F.col(c), n, none) for c in ("category", "condition")), *(row(f"task_{c}", task, F.col(c), n, none) for c in ("category", "condition"))]
+    counts = combos.select(*by, F.explode(F.array(*cells)).alias("r")).select(*by, "r.*").groupBy(*by, "kind", "task_family", "value").agg(F.sum("n").alias("n")).withColumn("fingerprint", none)
+    missing = short.select(*by, F.lit("short_quota").alias("kind"), F.col("asked_task").alias("task_family"), F.col("k").cast("string").alias("value"), "n", none.alias("fingerprint"))
+    return heads.select(*by, "r.*").unionByName(counts).unionByName(missing)
+
+
 def all_true(c: Column) -> Column:
     """True for no rows, as the all of an empty list."""
     return F.coalesce(F.bool_and(c), F.lit(True))

@@ -288,6 +288,19 @@ def agg_selection_audit(spark, d):
     return A.fingerprint(r, "instruction_id", ["split"]).join(r.groupBy("split").agg(F.count_distinct("image_id").alias("images")), "split")
 
 
+@query()
+def agg_selection_audit_whole(spark, d):
+    """The train and validation selections of every training run: counts, images and fingerprints, over all records.
+
+    agg_selection_audit and its SQL see the whole validation and test splits only, and select nothing.
+    """
+    cols = ["split", "instruction_id", "image_id", "task_family", "category", "condition"]
+    return A.selection_audit(cut_lineage(records(spark, d).select(*cols).filter("split IN ('train', 'validation')"), "records"), table(spark, d, "train_runs"))
+
+
+QUERIES["pipe_selection_audit_whole"] = agg_selection_audit_whole
+
+
 @query(f"SELECT round(max(coalesce(rate, 0)), 9) AS worst FROM (SELECT task_family, avg(CAST({P.uncertainty('prediction')['unsupported_root_cause']} AS INT)) AS rate FROM pred WHERE prediction IS NOT NULL GROUP BY 1)")
 def agg_max_over_tasks(spark, d):
     said = parsers.parse(predictions(spark, d).filter("prediction IS NOT NULL"), "prediction", ["unsupported_root_cause"])
