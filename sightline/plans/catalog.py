@@ -654,11 +654,14 @@ def win_fill_to_quota(spark, d):
 _COND = "SELECT task_family, condition, CASE condition WHEN 'anomalous' THEN 80 ELSE 60 END AS quota FROM (SELECT DISTINCT task_family, condition FROM hard)"
 
 
+def _condition_quotas(rows):
+    return rows.select("task_family", "condition").distinct().withColumn("quota", F.when(F.col("condition") == "anomalous", 80).otherwise(60).cast("bigint"))
+
+
 @query("SELECT instruction_id, task_family, condition, is_floor FROM (SELECT f.*, c.quota, row_number() OVER (PARTITION BY task_family, condition ORDER BY is_floor DESC, score DESC, sha256('42:' || instruction_id)) AS r FROM flo f JOIN c USING (task_family, condition)) WHERE r <= quota", wd=_W_DEFECT, hard=_HARD, flo=_FLOORS, c=_COND)
 def win_condition_quota(spark, d):
     rows = _hard(spark, d)
-    quotas = rows.select("task_family", "condition").distinct().withColumn("quota", F.when(F.col("condition") == "anomalous", 80).otherwise(60).cast("bigint"))
-    return S.floor_then_fill(rows, quotas, SEED, 2, ["task_family", "condition"]).select("instruction_id", "task_family", "condition", "is_floor")
+    return S.floor_then_fill(rows, _condition_quotas(rows), SEED, 2, ["task_family", "condition"]).select("instruction_id", "task_family", "condition", "is_floor")
 
 
 _UFR = """SELECT instruction_id, task_family, row_number() OVER (PARTITION BY task_family ORDER BY is_first DESC, turn, s) AS rank, quota FROM (
@@ -723,13 +726,57 @@ def pipe_instructions(spark, d):
 @query()
 def pipe_hard_examples(spark, d):
     """Training records chosen by the mistakes on validation predictions."""
+    quotas = spark.createDataFrame(list(_BIGS.items()), "task_family string, quota bigint")
+    return S.floor_then_fill(_hard_whole(spark, d), quotas, SEED, 2)
+
+
+# the queries that take _W_DEFECT count failed generations only, and so does their SQL; these weigh records by all mistakes
+
+
+def _mistakes(spark, d):
+    """Weights per (kind, category, item): wrong defects and locations of the validation predictions."""
     ids = records(spark, d).filter("split = 'validation'").select("instruction_id")
     p = predictions(spark, d).join(ids, "instruction_id", "left_semi")
-    weights = E.error_profile(E.evaluated(cut_lineage(E.parsed(p), "parsed")))
+    return cut_lineage(E.error_profile(E.evaluated(cut_lineage(E.parsed(p), "parsed"))), "weights")
+
+
+def _hard_whole(spark, d):
     pool = records(spark, d).filter("split = 'train' AND task_family IS NOT NULL AND condition IS NOT NULL AND category IS NOT NULL")
-    rows = cut_lineage(E.hard_scores(pool, cut_lineage(weights, "weights")).select("instruction_id", "task_family", "condition", "category", "score"), "hard")
-    quotas = spark.createDataFrame(list(_BIGS.items()), "task_family string, quota bigint")
-    return S.floor_then_fill(rows, quotas, SEED, 2)
+    return cut_lineage(E.hard_scores(pool, _mistakes(spark, d)).select("instruction_id", "task_family", "condition", "category", "score"), "hard")
+
+
+@query()
+def join_weight_lookup_whole(spark, d):
+    return E.hard_scores(records(spark, d), _mistakes(spark, d)).select("instruction_id", "score")
+
+
+@query()
+def win_hard_rank_whole(spark, d):
+    return S.hard_rank(_hard_whole(spark, d), SEED, "task_family", 50).select("instruction_id", "task_family", "score", "rank")
+
+
+@query()
+def win_category_floor_whole(spark, d):
+    return S.category_floor(_hard_whole(spark, d), 2, SEED).select("instruction_id", "task_family", "category")
+
+
+@query()
+def win_fill_to_quota_whole(spark, d):
+    return pipe_hard_examples(spark, d).select("instruction_id", "task_family", "is_floor")
+
+
+@query()
+def win_condition_quota_whole(spark, d):
+    rows = _hard_whole(spark, d)
+    return S.floor_then_fill(rows, _condition_quotas(rows), SEED, 2, ["task_family", "condition"]).select("instruction_id", "task_family", "condition", "is_floor")
+
+
+@query()
+def agg_score_histogram_whole(spark, d):
+    return _hard_whole(spark, d).groupBy("task_family", "score").agg(F.count("*").alias("n"))
+
+
+QUERIES["win_hard_select_whole"] = win_fill_to_quota_whole
 
 
 @query()

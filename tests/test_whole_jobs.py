@@ -3,6 +3,7 @@
 import hashlib
 
 from sightline.operators import aggregates as A
+from sightline.plans import catalog as K
 
 
 def test_selection_audit_covers_train(spark):
@@ -22,3 +23,21 @@ def test_selection_audit_covers_train(spark):
         chosen = records.filter(records.instruction_id.isin(first(seed, split)[:k]))
         want = A.corpus_fingerprint(chosen, "instruction_id", ["split"]).first().fingerprint
         assert [r.fingerprint for r in got if (r.run_id, r.selection, r.kind) == ("limit", split, "records")] == [want]
+
+
+def test_wrong_answers_and_locations_weigh(spark, monkeypatch):
+    columns = "instruction_id string, split string, task_family string, category string, condition string, defect_type string, location string, visual_severity string, prediction string"
+    rows = [
+        ("v1", "validation", "defect_identification", "candle", "anomalous", "scratch", None, "minor", "The defect is a bubble."), ("v2", "validation", "localization", "candle", "anomalous", "scratch", "center", "minor", "top left"),
+        ("v3", "validation", "defect_identification", "candle", "anomalous", "bubble", None, "minor", "The defect is a bubble."), ("t1", "train", "structured_report", "candle", "anomalous", "scratch", "center", "minor", None),
+        ("t2", "train", "localization", "candle", "anomalous", "scratch", "center", "minor", None), ("t3", "train", "defect_identification", "candle", "anomalous", "bubble", "center", "minor", None), ("t4", "train", "localization", "fryum", "anomalous", "scratch", "center", "minor", None),
+    ]
+    all_rows = spark.createDataFrame(rows, columns)
+    monkeypatch.setattr(K, "records", lambda *_: all_rows.drop("prediction"))
+    monkeypatch.setattr(K, "predictions", lambda *_: all_rows.filter("prediction IS NOT NULL").drop("split"))
+    score = {r.instruction_id: r.score for r in K.QUERIES["join_weight_lookup_whole"](spark, "").collect()}
+    assert [score[f"t{i}"] for i in (1, 2, 3, 4)] == [2, 1, 0, 0]
+    ranks = {r.instruction_id: r["rank"] for r in K.QUERIES["win_hard_rank_whole"](spark, "").collect()}
+    assert (ranks["t2"], ranks["t4"]) == (1, 2)
+    counts = {(r.task_family, r.score): r.n for r in K.QUERIES["agg_score_histogram_whole"](spark, "").collect()}
+    assert counts == {("structured_report", 2): 1, ("localization", 1): 1, ("localization", 0): 1, ("defect_identification", 0): 1}
