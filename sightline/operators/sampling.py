@@ -203,6 +203,19 @@ def shuffled_like_mt19937(rows: DataFrame, by: str, ordinal: str, seed: int) ->
     return rows.groupBy(by).applyInPandas(one, f"{schema}, position bigint")
 
 
+def ranked_in_order(rows: DataFrame, by: str, ident: str) -> DataFrame:
+    """Adds ``rank``, from 1: the place of each row by (``by``, ``ident``). ``by`` has few values, none of them null.
+
+    Rows sorted by range are counted per partition; a partition's first rank is the count before it, so no task holds them all.
+    """
+    # written once and read twice, so that both see the same partitions
+    placed = cut_lineage(rows.repartitionByRange(by, ident).withColumn("__part", F.spark_partition_id()), "ordered")
+    starts = placed.groupBy("__part").agg(F.count("*").alias("__n"))
+    starts = starts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per partition
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(by, ident))
+    return placed.join(starts, "__part").withColumn("rank", (F.col("__before") + place).cast("bigint")).select(*rows.columns, "rank")
+
+
 def newest_or_best(checkpoints: DataFrame, keep: int) -> DataFrame:
     """(location, step, is_best): the newest ``keep`` steps of each location and the best ones."""
     w = Window.partitionBy("location").orderBy(F.desc("step"))

@@ -376,6 +376,13 @@ def srt_multi_key(spark, d):
     return records(spark, d).filter("split = 'test' AND task_family IS NOT NULL").select("task_family", "instruction_id").orderBy("task_family", "instruction_id").limit(200)
 
 
+@query()
+def srt_multi_key_whole(spark, d):
+    """All test records in the order of task and identifier, with their rank; srt_multi_key and its SQL end after 200."""
+    rows = cut_lineage(records(spark, d).filter("split = 'test' AND task_family IS NOT NULL").select("task_family", "instruction_id"), "test")
+    return S.ranked_in_order(rows, "task_family", "instruction_id").orderBy("rank")
+
+
 @query("SELECT template_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, template_id) AS place FROM rec WHERE template_id IS NOT NULL GROUP BY 1")
 def srt_mixed_direction(spark, d):
     from pyspark.sql import Window

@@ -3,6 +3,7 @@
 import hashlib
 
 from sightline.operators import aggregates as A
+from sightline.operators import sampling as S
 from sightline.plans import catalog as K
 
 
@@ -41,3 +42,10 @@ def test_wrong_answers_and_locations_weigh(spark, monkeypatch):
     assert (ranks["t2"], ranks["t4"]) == (1, 2)
     counts = {(r.task_family, r.score): r.n for r in K.QUERIES["agg_score_histogram_whole"](spark, "").collect()}
     assert counts == {("structured_report", 2): 1, ("localization", 1): 1, ("localization", 0): 1, ("defect_identification", 0): 1}
+
+
+def test_order_has_no_end(spark):
+    rows = [("ab"[i % 7 == 0], f"i{i * 7919 % 1000:04d}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "task_family string, instruction_id string").repartition(5)
+    got = {r["rank"]: (r.task_family, r.instruction_id) for r in S.ranked_in_order(df, "task_family", "instruction_id").collect()}
+    assert got == dict(enumerate(sorted(rows), 1))
