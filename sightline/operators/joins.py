@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sightline.storage import cut_lineage
+
 
 def coverage(truth: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
     """Keys on one side only: (key, side) with side missing (no prediction) or extra (no truth)."""
@@ -36,6 +38,18 @@ def finalize(work: DataFrame, results: DataFrame, key: str, ordinal: str) -> Dat
     return work.select(key, ordinal).join(results, key).orderBy(ordinal)
 
 
+def finalize_runs(work: DataFrame, results: DataFrame, run: str, key: str, ordinal: str) -> DataFrame:
+    """Results of all runs in the order of their work, with ``side`` (both, missing or extra) and ``complete``: whether the run's key sets are equal.
+
+    Where ``finalize`` raises, the keys that differ are rows here, and a run without any is final.
+    """
+    both = work.select(run, key, ordinal, F.lit(1).alias("__w")).join(results.withColumn("__r", F.lit(1)), [run, key], "full_outer")
+    side = F.when(F.col("__r").isNull(), "missing").when(F.col("__w").isNull(), "extra").otherwise("both")
+    both = cut_lineage(both.withColumn("side", side).drop("__w", "__r"), "finalized")
+    runs = both.groupBy(run).agg(F.bool_and(F.col("side") == "both").alias("complete"))
+    return both.join(runs, run).orderBy(run, F.asc_nulls_last(ordinal), key)
+
+
 def with_masks(images: DataFrame, masks: DataFrame) -> DataFrame:
     """images (path, mask_path wanted, category, stem) with the mask at the wanted path, else the smallest one with the same category and stem."""
     exact = masks.select(F.col("path").alias("wanted"), F.col("path").alias("exact"))

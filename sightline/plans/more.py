@@ -244,6 +244,18 @@ def join_finalize_order(spark, d):
     return J.finalize(run.select("instruction_id", F.col("prediction_no").alias("ordinal")), run.select("instruction_id", "task_family"), "instruction_id", "ordinal")
 
 
+@query()
+def join_finalize_order_whole(spark, d):
+    """All runs against the records of the split that each is to answer, in the order of delivery; failed generations are missing.
+
+    join_finalize_order and its SQL take one run for both sides.
+    """
+    runs = table(spark, d, "inference_runs").select("run_id", F.col("expected_dataset_split").alias("split"))
+    work = records(spark, d).select("instruction_id", "split", F.col("delivery_id").alias("ordinal")).join(runs, "split")
+    done = predictions(spark, d).filter("prediction IS NOT NULL").select("run_id", "instruction_id", "task_family", "prediction_no")
+    return J.finalize_runs(work, done, "run_id", "instruction_id", "ordinal")
+
+
 _WANTED = r"SELECT image_id, category, regexp_extract(image_path, '([^/]+)\.[^./]*$', 1) AS stem, regexp_replace(replace(image_path, '/Images/', '/Masks/'), '\.[^./]*$', '.png') AS wanted FROM img WHERE category IS NOT NULL"
 _MASKS = r"SELECT DISTINCT replace(mask_path, '\', '/') AS path FROM images WHERE mask_path IS NOT NULL"
 

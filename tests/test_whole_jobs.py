@@ -3,6 +3,7 @@
 import hashlib
 
 from sightline.operators import aggregates as A
+from sightline.operators import joins as J
 from sightline.operators import sampling as S
 from sightline.plans import catalog as K
 
@@ -49,3 +50,11 @@ def test_order_has_no_end(spark):
     df = spark.createDataFrame(rows, "task_family string, instruction_id string").repartition(5)
     got = {r["rank"]: (r.task_family, r.instruction_id) for r in S.ranked_in_order(df, "task_family", "instruction_id").collect()}
     assert got == dict(enumerate(sorted(rows), 1))
+
+
+def test_finalize_finds_what_differs_in_any_run(spark):
+    work = spark.createDataFrame([(r, i, o) for r in "ab" for o, i in enumerate("zyx")], "run_id string, instruction_id string, ordinal int")
+    results = spark.createDataFrame([("a", i, "t") for i in "xyz"] + [("b", "z", "t"), ("b", "y", "t"), ("b", "q", "t")], "run_id string, instruction_id string, task_family string")
+    got = [(r.run_id, r.instruction_id, r.side, r.complete) for r in J.finalize_runs(work, results, "run_id", "instruction_id", "ordinal").collect()]
+    assert got[:3] == [("a", i, "both", True) for i in "zyx"]
+    assert got[3:] == [("b", "z", "both", False), ("b", "y", "both", False), ("b", "x", "missing", False), ("b", "q", "extra", False)]
