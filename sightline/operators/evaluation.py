@@ -12,6 +12,7 @@ from sightline.functions import vocabulary as V
 from sightline.functions.parsers import UNCERTAINTY, canonical_atoms, parse, vocabulary_atoms
 from sightline.functions.text import split_compound
 from sightline.operators.metrics import adjacent, classification_overall, set_scores
+from sightline.storage import cut_lineage
 
 FACT_TASKS = ["evidence_explanation", "technician_note"]
 LABEL_TASKS = ["binary_inspection", "product_identification", "localization"]
@@ -118,14 +119,33 @@ def set_label(atoms: Column) -> Column:
 
 
 def failure_analysis(rows: DataFrame) -> DataFrame:
-    """Confusions of defect sets and locations over anomalous rows: (kind, truth, said, n), ranked per kind by (n descending, truth, said)."""
+    """Defects and locations of anomalous rows: (kind, metric, value, truth, said, n, rank).
+
+    Metrics: records (of kind all, too), exact, unparsed and, of locations, adjacent; task by task_family and errors by category in ``value``; confusion per
+    (truth, said), those that differ ranked per kind by (n descending, truth, said). A row without a true location is an error.
+    """
     from pyspark.sql import Window
 
-    bad = rows.filter((F.col("condition") == "anomalous"))
-    defects = bad.filter(F.col("task_family").isin(V.DEFECT_TASKS)).select(F.lit("defect").alias("kind"), set_label(F.col("true_semantic")).alias("truth"), set_label(F.col("said_semantic")).alias("said"))
-    places = bad.filter(F.col("task_family").isin(V.LOCALIZATION_TASKS) & F.col("location").isNotNull()).select(F.lit("location").alias("kind"), F.col("location").alias("truth"), F.coalesce("said_location", F.lit("**unparsed**")).alias("said"))
-    counts = defects.unionByName(places).groupBy("kind", "truth", "said").agg(F.count("*").alias("n")).filter("truth <> said")
-    return counts.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "truth", "said")).cast("bigint"))  # pairs of labels
+    bad, no = rows.filter((F.col("condition") == "anomalous")), F.lit(False)
+    defects = bad.filter(F.col("task_family").isin(V.DEFECT_TASKS)).select(F.lit("defect").alias("kind"), "task_family", "category", set_label(F.col("true_semantic")).alias("truth"), set_label(F.col("said_semantic")).alias("said"), no.alias("adjacent"))
+    places = bad.filter(F.col("task_family").isin(V.LOCALIZATION_TASKS)).select(F.lit("location").alias("kind"), "task_family", "category", F.coalesce("location", F.lit("**missing_truth**")).alias("truth"), F.coalesce("said_location", F.lit("**unparsed**")).alias("said"), "adjacent")
+    sorts = ["kind", "task_family", "category", "truth", "said"]
+    combos = cut_lineage(defects.unionByName(places).groupBy(*sorts).agg(F.count("*").alias("n"), F.count_if("adjacent").alias("near")), "combos")  # labels only
+
+    none, wrong, zero = F.lit(None).cast("string"), F.col("truth") != F.col("said"), F.lit(0).cast("bigint")
+    cell = lambda metric, n, value=none: F.struct(F.lit(metric).alias("metric"), value.alias("value"), n.alias("n"))
+    if_ = lambda c: F.when(c, F.col("n")).otherwise(zero)
+    cells = [cell("records", F.col("n")), cell("exact", if_(~wrong)), cell("unparsed", if_(F.col("said") == "**unparsed**")), cell("task", F.col("n"), F.col("task_family")), cell("errors", if_(wrong), F.coalesce("category", F.lit("**unknown**")))]
+    near = F.when(F.col("kind") == "location", F.array(cell("adjacent", F.col("near")))).otherwise(F.array().cast("array<struct<metric:string,value:string,n:bigint>>"))
+    counts = combos.select("kind", F.explode(F.concat(F.array(*cells), near)).alias("c")).select("kind", "c.*")
+    spine = rows.sparkSession.createDataFrame([(k, m, None, 0) for k in ("defect", "location") for m in ("records", "exact", "unparsed", *["adjacent"][: k == "location"])], "kind string, metric string, value string, n bigint")
+    counts = counts.unionByName(spine).groupBy("kind", "metric", "value").agg(F.sum("n").alias("n")).filter("metric <> 'errors' OR n > 0")
+    counts = counts.unionByName(rows.agg(F.count("*").alias("n")).select(F.lit("all").alias("kind"), F.lit("records").alias("metric"), none.alias("value"), "n"))
+    confusion = combos.groupBy("kind", "truth", "said").agg(F.sum("n").alias("n")).withColumns({"metric": F.lit("confusion"), "value": none})
+    place = F.row_number().over(Window.partitionBy("kind", wrong).orderBy(F.desc("n"), "truth", "said")).cast("bigint")  # pairs of labels
+    confusion = confusion.withColumn("rank", F.when(wrong, place))
+    out = ["kind", "metric", "value", "truth", "said", "n", "rank"]
+    return counts.withColumns({"truth": none, "said": none, "rank": F.lit(None).cast("bigint")}).select(*out).unionByName(confusion.select(*out))
 
 
 def error_profile(rows: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 
 from sightline.operators import aggregates as A
+from sightline.operators import evaluation as E
 from sightline.operators import joins as J
 from sightline.operators import sampling as S
 from sightline.plans import catalog as K
@@ -58,3 +59,20 @@ def test_finalize_finds_what_differs_in_any_run(spark):
     got = [(r.run_id, r.instruction_id, r.side, r.complete) for r in J.finalize_runs(work, results, "run_id", "instruction_id", "ordinal").collect()]
     assert got[:3] == [("a", i, "both", True) for i in "zyx"]
     assert got[3:] == [("b", "z", "both", False), ("b", "y", "both", False), ("b", "x", "missing", False), ("b", "q", "extra", False)]
+
+
+def test_failure_analysis_counts_all_kinds(spark):
+    columns = "task_family string, category string, condition string, location string, said_location string, adjacent boolean, true_semantic array<string>, said_semantic array<string>"
+    rows = [
+        ("localization", "candle", "anomalous", "center", "center", True, [], []), ("localization", "candle", "anomalous", "center", "top_center", True, [], []), ("localization", "fryum", "anomalous", None, "center", False, [], []),
+        ("localization", "fryum", "anomalous", None, None, False, [], []), ("defect_identification", "candle", "anomalous", None, None, False, ["scratch"], ["scratch"]), ("structured_report", "candle", "anomalous", "center", None, False, ["scratch"], []),
+        ("localization", "candle", "normal", "center", None, False, [], []),
+    ]
+    got = E.failure_analysis(spark.createDataFrame(rows, columns)).collect()
+    n = {(r.kind, r.metric, r.value): r.n for r in got if r.metric != "confusion"}
+    assert [n["location", m, None] for m in ("records", "exact", "adjacent", "unparsed")] == [5, 1, 2, 2] and n["all", "records", None] == 7
+    assert [n["defect", m, None] for m in ("records", "exact", "unparsed")] == [2, 1, 1]
+    assert {k[2]: v for k, v in n.items() if k[:2] == ("location", "errors")} == {"candle": 2, "fryum": 2}
+    assert {k[2]: v for k, v in n.items() if k[:2] == ("location", "task")} == {"localization": 4, "structured_report": 1}
+    pairs = {(r.truth, r.said): (r.n, r["rank"]) for r in got if r.metric == "confusion" and r.kind == "location"}
+    assert pairs["center", "center"] == (1, None) and pairs["**missing_truth**", "**unparsed**"] == (1, 1) and pairs["**missing_truth**", "center"] == (1, 2)
