@@ -209,6 +209,35 @@ def record_problems(split: ColumnOrName, expected_split: ColumnOrName, task: Col
     return F.concat(F.array_compact(F.array(*single)), F.transform(privileged_markers(answer), lambda m: F.concat(F.lit("marker:"), m)), report_key_problems(answer, fmt))
 
 
+IMAGE_SUFFIXES = r"(?i)\.(jpg|jpeg|png)$"
+
+
+def benchmark_problems(rows: DataFrame, quotas: DataFrame, images: DataFrame, frozen: DataFrame) -> DataFrame:
+    """All that is wrong with a benchmark: (error, key, detail).
+
+    ``rows``: instruction_id, split, task_family, image_id, image, one per line of it; ``quotas``: task_family, n; ``images``: image_id, width, height;
+    ``frozen``: fingerprint, of one row or none. Repeated identifiers, other splits than test, task counts, a digest that differs, and images that are
+    outside the root, of another kind, unknown or empty.
+    """
+    from sightline.operators.aggregates import corpus_fingerprint, expected_counts, repeated
+
+    line = lambda df, error, key, detail: df.select(F.lit(error).alias("error"), key.cast("string").alias("key"), detail.cast("string").alias("detail"))
+    twice = line(repeated(rows, "instruction_id"), "duplicate_id", F.col("value"), F.col("n"))
+    other = line(rows.filter(~F.col("split").eqNullSafe(F.lit("test"))), "split_mismatch", F.col("instruction_id"), F.col("split"))
+    counts = expected_counts(rows.filter("task_family IS NOT NULL").groupBy("task_family").agg(F.count("*").alias("n")).join(quotas.select("task_family"), "task_family", "left_semi"), quotas, "task_family")
+    counts = line(counts, "task_quota", F.col("task_family"), F.concat_ws("<>", "expected", "found"))
+    # an empty benchmark has a digest of nothing, so it differs as well
+    now = corpus_fingerprint(rows.withColumn("__all", F.lit(1)), "instruction_id", ["__all"]).agg(F.max("fingerprint").alias("now"))
+    was = frozen.agg(F.max("fingerprint").alias("was"))
+    digest = now.join(F.broadcast(was)).filter("now IS DISTINCT FROM was")  # one row each
+    digest = line(digest, "digest_mismatch", F.col("now"), F.col("was"))
+    seen = rows.select("image_id", "image").distinct().join(images.select("image_id", "width", "height", F.lit(True).alias("known")), "image_id", "left")
+    bad = F.when(~path_contained("image"), "outside the root").when(~F.col("image").rlike(IMAGE_SUFFIXES), "unsupported kind").when(F.col("known").isNull(), "not found")
+    bad = bad.when(~F.coalesce((F.col("width") > 0) & (F.col("height") > 0), F.lit(False)), "empty")
+    pictures = line(seen.withColumn("why", bad).filter("why IS NOT NULL"), "image", F.coalesce("image_id", "image"), F.col("why"))
+    return twice.unionByName(other).unionByName(counts).unionByName(digest).unionByName(pictures)
+
+
 def threshold_gate(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     """(name, value, bound, low or high, passed). ``metrics``: name, value; ``thresholds``: name, kind (min or max), bound. A missing value fails."""
     both = thresholds.join(metrics, "name", "left")

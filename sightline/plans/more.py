@@ -469,12 +469,105 @@ def pipe_features(spark, d):
 
 
 for _name, _other in {
-    "pipe_audit": "agg_audit_summary", "pipe_parse": "prj_row_to_record", "pipe_split": "win_contiguous_assign", "pipe_benchmark": "win_unique_first_rr", "pipe_benchmark_validate": "agg_task_quota_check",
+    "pipe_audit": "agg_audit_summary", "pipe_split": "win_contiguous_assign", "pipe_benchmark": "win_unique_first_rr", "pipe_benchmark_validate": "agg_task_quota_check",
     "pipe_failure_analysis": "met_failure_analysis", "pipe_selection_audit": "agg_selection_audit", "pipe_release": "prj_threshold_gate", "win_hard_select": "win_fill_to_quota", "fn_stratum_2": "fn_defect_key", "fn_location_text": "fn_humanize",
 }.items():
     _same_as(_name, _other)
 
 
+# whole pipelines in long form (part, key, value, n); the names above stand for the one step that their SQL states
+
+
+def _part(df, part: str, key, value=None, n=None):
+    text = lambda c: F.lit(None).cast("string") if c is None else c.cast("string")
+    return df.select(F.lit(part).alias("part"), text(key).alias("key"), text(value).alias("value"), (F.lit(1) if n is None else n).cast("bigint").alias("n"))
+
+
+def _parts(*parts):
+    from functools import reduce
+
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _counted(df, dims: list[str], prefix: str = "count"):
+    return _part(A.counts_1d(df, dims), prefix, F.col("dim"), F.col("value"), F.col("n"))
+
+
+@query()
+def pipe_parse(spark, d):
+    """Annotation rows as records, errors and the report; a later row with a taken id or path is an error, too."""
+    rows = cut_lineage(K.prj_row_to_record(spark, d), "rows")
+    valid, dead = C.split_errors(rows)
+    checked = cut_lineage(C.first_wins(valid, ["image_id", "image_path"], ["file", "row_number"]), "checked")
+    good, twice = checked.filter("duplicate_of IS NULL"), checked.filter("duplicate_of IS NOT NULL")
+    at = F.concat_ws("#", "file", "row_number")
+    problems = cut_lineage(_parts(_part(dead, "error", at, F.col("error")), _part(twice, "error", at, F.concat(F.lit("duplicate "), "duplicate_of"))), "problems")
+    totals = _parts(_part(good.agg(F.count("*").alias("n")), "report", F.lit("valid_records"), None, F.col("n")), _part(problems.agg(F.count("*").alias("n")), "report", F.lit("invalid_records"), None, F.col("n")), _part(good.agg(F.count("mask_path").alias("n")), "report", F.lit("records_with_masks"), None, F.col("n")))
+    record = F.to_json(F.struct(*(c for c in good.columns if c != "duplicate_of")))
+    return _parts(_part(good, "record", F.col("image_id"), record), problems, totals, _counted(good, ["category", "condition", "source_split"], "report"))
+
+
+@query()
+def pipe_split_whole(spark, d):
+    """Assignments, the counts of each split, warnings and leaks."""
+    i = cut_lineage(images(spark, d), "images")
+    rows = cut_lineage(i.join(S.assign_splits(i, "ingested_at", SEED).select("image_id", "split"), "image_id", "left"), "assigned")
+    leaks = [_part(A.cross_split_leaks(rows, k, "split"), f"leak:{k}", F.col("key"), F.col("splits")) for k in ("image_id", "image_path", "sha256")]
+    repeats = [_part(A.repeated(rows, k), f"duplicate:{k}", F.col("value"), None, F.col("n")) for k in ("image_id", "image_path")]
+    spans = _part(S.duplicate_clusters(i, "ingested_at").filter("strata > 1"), "warning:strata", F.col("cluster"), F.col("image_id"), F.col("strata"))
+    defect = F.when(F.col("condition") == "anomalous", F.coalesce("defect_type", F.lit("unspecified_anomaly")))
+    wide = rows.withColumns({"category_condition": F.concat_ws("/", "category", "condition"), "defect": defect})
+    dims = ["category", "condition", "category_condition", "defect", "visual_severity"]
+    stats = A.split_stats(wide, "split", dims, S.SPLITS).filter("dim <> 'defect' OR value IS NOT NULL OR n = 0")
+    stats = _part(stats, "count", F.concat_ws(":", "split", "dim"), F.col("value"), F.col("n"))
+    lost = _part(rows.filter("split IS NULL"), "unassigned", F.col("image_id"))
+    return _parts(_part(rows.filter("split IS NOT NULL"), "assignment", F.col("image_id"), F.col("split")), *leaks, *repeats, spans, stats, lost)
+
+
+def _benchmark(spark, d):
+    rows = cut_lineage(records(spark, d).filter("split = 'test' AND task_family IS NOT NULL AND image_id IS NOT NULL").select("instruction_id", "image_id", "task_family", *S.STRATUM), "test")
+    return rows, cut_lineage(S.unique_first_round_robin(rows, K._quotas(spark), SEED), "benchmark")
+
+
+def _digest(df):
+    return A.corpus_fingerprint(df.withColumn("__all", F.lit(1)), "instruction_id", ["__all"])
+
+
+@query()
+def pipe_benchmark_whole(spark, d):
+    """The sample, and its manifest: digests of it and its source, and its distribution."""
+    rows, taken = _benchmark(spark, d)
+    digests = [_part(_digest(df), "manifest", F.lit(f"{k}_sha256"), F.col("fingerprint"), F.col("n")) for k, df in (("source", rows), ("benchmark", taken))]
+    images_ = _part(taken.agg(F.count_distinct("image_id").alias("n")), "manifest", F.lit("unique_images"), None, F.col("n"))
+    filled = taken.fillna("none", ["location", "defect_type"])
+    return _parts(_part(taken, "sample", F.col("instruction_id"), F.col("task_family"), F.col("rank")), *digests, images_, _counted(filled, ["task_family", *S.STRATUM]), _part(K._quotas(spark), "target", F.col("task_family"), None, F.col("quota")))
+
+
+@query()
+def pipe_benchmark_validate_whole(spark, d):
+    """All problems of the benchmark's deliveries against what was frozen, its images and quotas, and what it holds."""
+    from sightline.functions.text import canonical_id, canonical_split, canonical_token
+
+    _, taken = _benchmark(spark, d)
+    lines = table(spark, d, "instructions").select(canonical_id("instruction_id").alias("instruction_id"), canonical_split("dataset_split").alias("split"), canonical_token("task_family").alias("task_family"), canonical_token("image_id").alias("image_id"), C.message_fields()["image"].alias("image"), canonical_token("metadata.category").alias("category"), canonical_token("metadata.condition").alias("condition"), canonical_token("metadata.visual_severity").alias("visual_severity"))
+    lines = cut_lineage(lines.join(taken.select("instruction_id"), "instruction_id", "left_semi"), "lines")
+    quotas = K._quotas(spark).withColumnRenamed("quota", "n")
+    problems = C.benchmark_problems(lines, quotas, images(spark, d), _digest(taken))
+    sets = lines.groupBy("task_family").agg(*(F.array_join(F.array_sort(F.collect_set(c)), ",").alias(c) for c in ("category", "condition")))
+    found = [_part(sets, f"{c}_by_task", F.col("task_family"), F.col(c)) for c in ("category", "condition")]
+    return _parts(_part(problems, "error", F.concat_ws(":", "error", "key"), F.col("detail")), _counted(lines, ["task_family", "category", "condition", "visual_severity"]), *found)
+
+
+@query()
+def pipe_release_whole(spark, d):
+    """The checks of thresholds and of each run's contract with their status, their counts, and the state: ready, pending or blocked."""
+    gates = K.prj_threshold_gate(spark, d).select(F.concat(F.lit("threshold:"), "name").alias("name"), F.when(F.col("passed"), "pass").otherwise("fail").alias("status"))
+    runs = join_manifest_check(spark, d).select(F.concat(F.lit("run:"), "run_id").alias("name"), F.when(~F.col("within"), "fail").when(~F.col("predicted"), "pending").otherwise("pass").alias("status"))
+    checks = cut_lineage(gates.unionByName(runs), "checks")
+    state = C.release_status(checks)
+    return _parts(_part(checks, "check", F.col("name"), F.col("status")), *(_part(state, "count", F.lit(k), None, F.col(k)) for k in ("pass", "pending", "fail")), _part(state, "state", F.col("state")))
+
+
 # 2.1 readers over logs that are written first, and 2.11 streams
 
 

@@ -1,13 +1,21 @@
 """Jobs that earlier versions did in part."""
 
 import hashlib
+import os
 
+import pytest
+from pyspark.sql import functions as F
+
+from __spark_entry__ import queries
 from sightline.operators import aggregates as A
 from sightline.operators import evaluation as E
 from sightline.operators import joins as J
 from sightline.operators import sampling as S
+from sightline.operators import validate as C
 from sightline.plans import catalog as K
 
+DATA, QUERIES = "/root/testdata/sf0.001", queries()
+
 
 def test_selection_audit_covers_train(spark):
     rows = [(split, f"{split}-{i}", f"m{i // 2}", "ab"[i % 2], "c", "normal") for split, n in (("train", 40), ("validation", 10)) for i in range(n)]
@@ -76,3 +84,29 @@ def test_failure_analysis_counts_all_kinds(spark):
     assert {k[2]: v for k, v in n.items() if k[:2] == ("location", "task")} == {"localization": 4, "structured_report": 1}
     pairs = {(r.truth, r.said): (r.n, r["rank"]) for r in got if r.metric == "confusion" and r.kind == "location"}
     assert pairs["center", "center"] == (1, None) and pairs["**missing_truth**", "**unparsed**"] == (1, 1) and pairs["**missing_truth**", "center"] == (1, 2)
+
+
+def test_benchmark_problems_of_all_kinds(spark):
+    rows = [("i1", "test", "t", "m1", "a/1.png"), ("i1", "test", "t", "m1", "a/1.png"), ("i2", "train", "t", "m2", "a/2.png"), ("i3", "test", "u", "m3", "../3.png"), ("i4", "test", "u", "m4", "4.txt"), ("i5", "test", "u", "m5", "5.png")]
+    df = spark.createDataFrame(rows, "instruction_id string, split string, task_family string, image_id string, image string")
+    quotas = spark.createDataFrame([("t", 3), ("u", 9)], "task_family string, n bigint")
+    pictures = spark.createDataFrame([(f"m{i}", 8, 8 * (i != 2)) for i in (1, 2, 3, 4)], "image_id string, width int, height int")
+    frozen = A.corpus_fingerprint(df.withColumn("g", df.split), "instruction_id", ["g"]).limit(1)
+    got = {(r.error, r.key if r.error != "digest_mismatch" else None): r.detail for r in C.benchmark_problems(df, quotas, pictures, frozen).collect()}
+    assert got.pop(("digest_mismatch", None))
+    assert got == {("duplicate_id", "i1"): "2", ("split_mismatch", "i2"): "train", ("task_quota", "u"): "9<>3", ("image", "m2"): "empty", ("image", "m3"): "outside the root", ("image", "m4"): "unsupported kind", ("image", "m5"): "not found"}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_pipelines_hold_all_their_parts(spark):
+    parts = lambda name: {(r.part, r.key): r.n for r in QUERIES[name](spark, DATA).groupBy("part", F.when(F.col("part").isin("report", "state", "summary"), F.col("key")).alias("key")).agg(F.sum("n").alias("n")).collect()}
+    parse = parts("pipe_parse")
+    assert parse["report", "valid_records"] == parse["record", None] and parse["report", "invalid_records"] == parse.get(("error", None), 0)
+    assert parse["record", None] + parse.get(("error", None), 0) == K.QUERIES["prj_row_to_record"](spark, DATA).count()
+    split = parts("pipe_split_whole")
+    assert split["assignment", None] == K.images(spark, DATA).count() and ("count", None) in split and not [p for p, _ in split if p.startswith("leak")]
+    audit = parts("pipe_audit_whole")
+    assert audit["image", None] + audit.get(("error", None), 0) == K.images(spark, DATA).count() and ("csv", None) in audit and ("summary", "anomalous_without_mask") in audit
+    assert {p for p, _ in parts("pipe_benchmark_whole")} == {"sample", "manifest", "count", "target"}
+    release = parts("pipe_release_whole")
+    assert release["check", None] == release["count", None] and len([p for p, _ in release if p == "state"]) == 1
