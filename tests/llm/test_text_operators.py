@@ -1,6 +1,8 @@
+import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sightline.llm import toxicity
 from sightline.llm.toxicity import ToxicityModel, cleaned, rates, segments, words
@@ -31,7 +33,7 @@ def test_counting_agrees_with_lookup():
     from sightline.llm import truncation as t
 
     texts = ["Alpha beta 123 gamma.", "", "Alpha  beta 9 gamma", '{"a": "x. y", "b', "ö" * 60]
-    bits = np.ones(t.BLOOM_BITS, dtype=bool)
+    bits = np.full(t.LEAST_BITS // 8, 255, dtype=np.uint8)
     key, ends, seen = t._count("user", texts, [2, 1, 3, 1, 1], bits)
     table = dict(zip(key.tolist(), zip(ends.tolist(), seen.tolist())))
     tail, inside, _ = final_context("Alpha beta 7 gamma!")
@@ -41,6 +43,76 @@ def test_counting_agrees_with_lookup():
     assert inside and all(int(h[0]) in table for h in t._contexts([tail], ["user"], [inside]).values())
 
 
+def test_bit_table_holds_what_was_put_in():
+    import numpy as np
+    import pyarrow as pa
+
+    from sightline.llm import truncation as t
+
+    tails = [final_context(x)[0] for x in ("It is cut he", "a whole one.", "b", "", "ö" * 40)]
+    batch = pa.RecordBatch.from_pydict({"col": ["user"] * 5, "tail": tails, "inside": [False] * 5})
+    for size in (t.LEAST_BITS, 2 * t.LEAST_BITS):
+        own, together = t._slices(size)
+        parts = [r for b in own(iter([batch])) for r in b.to_pylist()]
+        bits = np.zeros((size // t.SLICE, t.SLICE // 8), dtype=np.uint8)
+        for part in parts:
+            twice = pa.RecordBatch.from_pylist([part, part], schema=pa.schema([("slice", pa.int32()), ("bits", pa.binary())]))
+            (one,) = (r for b in together(iter([twice])) for r in b.to_pylist())
+            bits[one["slice"]] = np.frombuffer(__import__("zlib").decompress(one["bits"]), dtype=np.uint8)
+        hashes = t._contexts(tails, ["user"] * 5, [False] * 5)
+        assert all(t._known(h, bits.reshape(-1)).all() for h in hashes.values()) and np.unpackbits(bits).sum() <= 25
+        assert not t._known(hashes[4] ^ np.uint64(1 << 63), bits.reshape(-1)).all()
+
+
+REPORTS = [*FORMS, "The defect is a {d} near the {l} of the {p}, seen in {n} frames.", "Reject the {p} for manual review; annotated issue {d}, location {l}."]
+DEFECTS, PLACES = ["small scratch", "crack", "hole", "color spot", "missing corner"], ["top left", "center", "bottom right", "top center"]
+
+
+@pytest.mark.parametrize("copies", [1, 2, 3, 5, 10])
+def test_repeated_cut_texts_are_found(spark, copies):
+    rng = random.Random(4)
+    make = lambda: rng.choice(REPORTS).format(p=rng.choice(PRODUCTS), n=rng.randrange(1, 400), d=rng.choice(DEFECTS), l=rng.choice(PLACES))
+    rows, cut = [("instruction", i, "s", "assistant", make()) for i in range(4000)], set()
+    while len(cut) < 100 * copies:
+        whole = make()
+        part = whole[: rng.randrange(12, max(13, len(whole) - 4))].rstrip()
+        if whole.count(" ") < 4 or part[-1] in ".;,":
+            continue
+        text = part + rng.choice(["", "", " ", "…", " [cut]"])
+        for _ in range(copies):
+            rows.append(("instruction", 10_000 + len(cut), "s", "assistant", text))
+            cut.add(10_000 + len(cut))
+    found = {r.record_key for r in TruncationModel(spark.createDataFrame(rows, TEXTS)).cut_rows().collect()}
+    assert len(found & cut) / len(cut) > 0.95 and len(found & cut) / len(found) > 0.95
+
+
+def test_marks_and_additions_have_no_limit():
+    assert trimmed("It is whol" + "…" * 20 + " ..." * 9) == ("It is whol", True)
+    assert trimmed("It is whol" + " [ cut ]" * 30) == ("It is whol", True)
+    assert trimmed("It is whole.\n-- " + "desk " * 60 + "\n-- hall") == ("It is whole.", False)
+    assert trimmed("It is whole. (ref " + "K" * 200 + ")") == ("It is whole.", False)
+    assert trimmed("It is whol…\n-- desk 4 (see K-1)") == ("It is whol", True)
+    assert trimmed("…") == ("", True) and trimmed("` (no)") == ("", False) and trimmed(")") == (")", False)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_redelivery_loses_nothing(spark):
+    ins, pre = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("instructions", "predictions"))
+    once = TruncationModel(message_texts(ins, pre)).cut_rows().cache()
+    again = ins.join(once.filter("record_kind = 'instruction'").select(F.col("record_key").alias("delivery_id")), "delivery_id", "left_semi")
+    said = pre.join(once.filter("record_kind = 'prediction'").select(F.col("record_key").alias("prediction_no")), "prediction_no", "left_semi")
+    more = [10_000_000, 20_000_000, 30_000_000]
+    for copies in (more[:1], more):
+        for k in copies:
+            ins2 = again.withColumn("delivery_id", F.col("delivery_id") + k)
+            pre2 = said.withColumn("prediction_no", F.col("prediction_no") + k)
+            all_ins, all_pre = (ins, pre) if k == copies[0] else (all_ins, all_pre)
+            all_ins, all_pre = all_ins.unionByName(ins2), all_pre.unionByName(pre2)
+        found = {tuple(r) for r in TruncationModel(message_texts(all_ins, all_pre)).cut_rows().collect()}
+        want = {(r.record_kind, r.record_key + k) for r in once.collect() for k in (0, *copies)}
+        assert want <= found and len(found) == len(want)
+
+
 def test_valley():
     assert valley([(-8.0, 40), (5.0, 400)]) == pytest.approx(-1.5)
     assert valley([(-9.0, 2)]) == -1.5
