@@ -90,10 +90,15 @@ def _any_phrase(text: Column, phrases: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in phrases])
 
 
+def any_of(patterns: list[str]) -> str:
+    """One pattern for all, so that a text is scanned once."""
+    return "|".join(patterns)
+
+
 def _condition_of_text(text: Column) -> Column:
     return (
-        F.when(text.rlike(V.NORMAL_PATTERN), "normal")
-        .when(text.rlike(V.ANOMALOUS_PATTERN), "anomalous")
+        F.when(text.rlike(any_of(V.NORMAL_PATTERNS)), "normal")
+        .when(text.rlike(any_of(V.ANOMALOUS_PATTERNS)), "anomalous")
         .when(_any_phrase(text, V.NORMAL_PHRASES), "normal")
     )
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sightline.functions import vocabulary as V
 from sightline.functions.parsers import UNCERTAINTY, canonical_atoms, parse, vocabulary_atoms
 from sightline.functions.text import split_compound
-from sightline.operators.metrics import adjacent, classification_overall, set_scores
+from sightline.operators.metrics import UNPARSED, adjacent, safe_divide, set_scores
 from sightline.storage import cut_lineage
 
 FACT_TASKS = ["evidence_explanation", "technician_note"]
@@ -66,8 +66,44 @@ def evaluated(rows: DataFrame) -> DataFrame:
     return out.withColumn("tags", F.array_sort(F.array_distinct(F.array_compact(F.array(*tags.values())))))
 
 
-def task_metrics(rows: DataFrame) -> DataFrame:
-    """(task_family, metric, value) in long form: every task has its own metrics, one aggregation yields them all."""
+def _truth_and_said() -> tuple[Column, Column]:
+    """True and said label of a row of one of the label tasks; a missing truth is the label None."""
+    task = F.col("task_family")
+    choose = lambda binary, product, place: F.when(task == "binary_inspection", F.col(binary)).when(task == "product_identification", F.col(product)).when(task == "localization", F.col(place))
+    return F.coalesce(choose("condition", "category", "location"), F.lit("None")), choose("said_condition", "said_product", "said_location")
+
+
+def label_metrics(rows: DataFrame) -> DataFrame:
+    """(task_family, metric, label, said, value) of the label tasks.
+
+    Per task count, accuracy, macro means and what was unparsed, per label precision, recall, f1 and support, and the confusion of all
+    labels, zeros included. One aggregation over the rows yields the cells; all else is as small as they are.
+    """
+    truth, said = _truth_and_said()
+    own = rows.filter(F.col("task_family").isin(LABEL_TASKS))
+    cells = own.groupBy("task_family", truth.alias("truth"), F.coalesce(said, F.lit(UNPARSED)).alias("predicted")).agg(F.count("*").alias("n"), F.count_if("adjacent").alias("near"))
+    cells = cut_lineage(cells, "cells")
+    none, task = F.lit(None).cast("string"), "task_family"
+    row = lambda metric, value, label=none, with_=none: F.struct(F.lit(metric).alias("metric"), label.alias("label"), with_.alias("said"), value.cast("double").alias("value"))
+    right, lost = F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)), F.sum(F.when(F.col("predicted") == UNPARSED, F.col("n")).otherwise(0))
+    whole = cells.groupBy(task).agg(F.sum("n").alias("n"), right.alias("right"), lost.alias("lost"), F.sum("near").alias("near"))
+    whole = whole.select(task, F.explode(F.array(row("count", F.col("n")), row("accuracy", F.col("right") / F.col("n")), row("unparseable_count", F.col("lost")), row("unparseable_rate", F.col("lost") / F.col("n")), row("adjacent_tolerance_accuracy", F.col("near") / F.col("n")))).alias("r"))
+    whole = whole.filter("r.metric <> 'adjacent_tolerance_accuracy' OR task_family = 'localization'")
+    sides = cells.select(task, "n", (F.col("truth") == F.col("predicted")).alias("hit"), F.explode(F.array(F.struct(F.col("truth").alias("label"), F.lit(True).alias("true")), F.struct(F.col("predicted").alias("label"), F.lit(False).alias("true")))).alias("s"))
+    total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    labels = sides.groupBy(task, F.col("s.label").alias("label")).agg(total(F.col("s.true") & F.col("hit")).alias("tp"), total(F.col("s.true")).alias("support"), total(~F.col("s.true")).alias("said")).filter(F.col("label") != UNPARSED)
+    labels = labels.select(task, "label", "support", safe_divide("tp", "said").alias("precision"), safe_divide("tp", "support").alias("recall"))
+    labels = labels.withColumn("f1", safe_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    macro = labels.groupBy(task).agg(*(F.avg(m).alias(m) for m in ("precision", "recall", "f1"))).select(task, F.explode(F.array(*(row(f"macro_{m}", F.col(m)) for m in ("precision", "recall", "f1")))).alias("r"))
+    each = labels.select(task, F.explode(F.array(*(row(m, F.col(m), F.col("label")) for m in ("precision", "recall", "f1", "support")))).alias("r"))
+    columns = cells.groupBy(task).agg(F.collect_set("predicted").alias("c"))  # labels
+    spine = cells.select(task, "truth").distinct().join(columns, task).select(task, "truth", F.explode("c").alias("predicted"))
+    dense = spine.join(cells.drop("near"), [task, "truth", "predicted"], "left").select(task, row("confusion", F.coalesce("n", F.lit(0)), F.col("truth"), F.col("predicted")).alias("r"))
+    return whole.unionByName(macro).unionByName(each).unionByName(dense).select(task, "r.*")
+
+
+def plain_metrics(rows: DataFrame) -> DataFrame:
+    """(task_family, metric, value) of the other tasks: every task has its own metrics, one aggregation yields them all."""
     valid = F.col("json_valid")
     mean = lambda c: F.avg(c.cast("double"))
     by_task = {
@@ -78,8 +114,6 @@ def task_metrics(rows: DataFrame) -> DataFrame:
             "location_accuracy": mean(valid & F.col("location_correct")), "severity_accuracy": mean(valid & F.col("severity_correct")), "unsupported_field_rate": mean(valid & (F.col("unsupported") > 0)),
         },
         "uncertainty": {"appropriate_abstention_accuracy": mean(F.col("abstains") & ~F.col("unsupported_root_cause") & ~F.col("unsupported_safety_claim"))},
-        "binary_inspection": {"accuracy": mean(F.col("condition_correct"))}, "product_identification": {"accuracy": mean(F.col("product_correct"))},
-        "localization": {"accuracy": mean(F.col("location_correct") & F.col("location").isNotNull()), "adjacent_tolerance_accuracy": mean(F.col("adjacent"))},
     }
     claims = {"unsupported_root_cause_rate": mean(F.col("unsupported_root_cause")), "unsupported_safety_claim_rate": mean(F.col("unsupported_safety_claim"))}
     by_task |= {t: {"mean_fact_coverage": mean(F.col("fact_coverage")), **claims} for t in FACT_TASKS}
@@ -92,10 +126,24 @@ def task_metrics(rows: DataFrame) -> DataFrame:
             if name in ms:
                 value = F.when(F.col("task_family") == t, ms[name]).otherwise(value)
         cells.append(F.struct(F.lit(name).alias("metric"), value.alias("value")))
-    flat = rows.groupBy("task_family").agg(F.array(F.struct(F.lit("count").alias("metric"), F.count("*").cast("double").alias("value")), *cells).alias("m"))
+    own = rows.filter(~F.coalesce(F.col("task_family").isin(LABEL_TASKS), F.lit(False)))
+    flat = own.groupBy("task_family").agg(F.array(F.struct(F.lit("count").alias("metric"), F.count("*").cast("double").alias("value")), *cells).alias("m"))
     return flat.select("task_family", F.explode("m").alias("m")).select("task_family", "m.metric", "m.value").filter("value IS NOT NULL")
 
 
+#: The metrics of ``plain_metrics``, as columns of the report per task.
+PLAIN = [
+    "count", "exact_match", "precision", "recall", "f1", "strict_exact_match", "strict_precision", "strict_recall", "strict_f1", "json_valid_rate", "schema_valid_rate", "field_completeness", "condition_accuracy", "product_accuracy", "defect_f1",
+    "strict_defect_f1", "location_accuracy", "severity_accuracy", "unsupported_field_rate", "appropriate_abstention_accuracy", "mean_fact_coverage", "unsupported_root_cause_rate", "unsupported_safety_claim_rate",
+]
+
+
+def task_metrics(rows: DataFrame) -> DataFrame:
+    """(task_family, metric, label, said, value) of all tasks in long form; label and said are null but for metrics of labels."""
+    none = F.lit(None).cast("string")
+    return plain_metrics(rows).select("task_family", "metric", none.alias("label"), none.alias("said"), "value").unionByName(label_metrics(rows))
+
+
 def category_rollup(rows: DataFrame) -> DataFrame:
     """Rows, failure rate and claim rates per category."""
     return rows.groupBy("category").agg(F.count("*").alias("n"), F.avg((F.size("tags") > 0).cast("double")).alias("failure_rate"), F.avg(F.col("unsupported_root_cause").cast("double")).alias("root_cause_rate"), F.avg(F.col("unsupported_safety_claim").cast("double")).alias("safety_claim_rate"))
@@ -109,8 +157,7 @@ def overall(rows: DataFrame) -> DataFrame:
 
 def unparsed_rows(rows: DataFrame) -> DataFrame:
     """Rows of the three label tasks whose text gave no label."""
-    said = F.when(F.col("task_family") == "binary_inspection", F.col("said_condition")).when(F.col("task_family") == "product_identification", F.col("said_product")).when(F.col("task_family") == "localization", F.col("said_location"))
-    return rows.filter(F.col("task_family").isin(LABEL_TASKS) & said.isNull())
+    return rows.filter(F.col("task_family").isin(LABEL_TASKS) & _truth_and_said()[1].isNull())
 
 
 def set_label(atoms: Column) -> Column:
@@ -164,10 +211,3 @@ def hard_scores(records: DataFrame, weights: DataFrame) -> DataFrame:
     keyed = records.select("instruction_id", "category", F.explode(items).alias("i")).select("instruction_id", "category", "i.kind", "i.item")
     found = keyed.join(weights, ["kind", "category", "item"]).groupBy("instruction_id").agg(F.sum("w").cast("bigint").alias("score"))
     return records.join(found, "instruction_id", "left").withColumn("score", F.coalesce("score", F.lit(0)).cast("bigint"))
-
-
-def label_metrics(rows: DataFrame, task: str) -> DataFrame:
-    """Overall classification metrics of one of the label tasks."""
-    said = {"binary_inspection": ("condition", "said_condition"), "product_identification": ("category", "said_product"), "localization": ("location", "said_location")}[task]
-    return classification_overall(rows.filter(F.col("task_family") == task).withColumn("truth", F.coalesce(said[0], F.lit("None"))), "truth", said[1])
-

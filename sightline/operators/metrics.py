@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import vocabulary as V
 from sightline.functions.text import ColumnOrName, col
+from sightline.storage import cut_lineage
 
 UNPARSED = "__unparsed__"
 
@@ -19,7 +20,7 @@ def safe_divide(a: ColumnOrName, b: ColumnOrName) -> Column:
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """(truth, predicted, n) of the cells that occur; a null prediction is UNPARSED."""
     pair = df.filter(F.col(truth).isNotNull()).select(F.col(truth).alias("truth"), F.coalesce(F.col(predicted), F.lit(UNPARSED)).alias("predicted"))
-    return pair.groupBy("truth", "predicted").agg(F.count("*").alias("n"))
+    return cut_lineage(pair.groupBy("truth", "predicted").agg(F.count("*").alias("n")), "cells")  # as many rows as pairs of labels, and read more than once
 
 
 def confusion_dense(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -41,7 +42,10 @@ def confusion_ranked(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 def classification_by_label(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """Per label of truths and predictions: tp, fp, fn, support, precision, recall, f1. One pass, then only label-sized tables."""
-    cells = confusion(df, truth, predicted)
+    return _by_label(confusion(df, truth, predicted))
+
+
+def _by_label(cells: DataFrame) -> DataFrame:
     hit = F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)
     sides = cells.select("n", hit.alias("hit"), F.explode(F.array(F.struct(F.col("truth").alias("label"), F.lit(True).alias("is_truth")), F.struct(F.col("predicted").alias("label"), F.lit(False).alias("is_truth")))).alias("s"))
     per = sides.groupBy(F.col("s.label").alias("label")).agg(
@@ -57,7 +61,7 @@ def classification_overall(df: DataFrame, truth: str, predicted: str) -> DataFra
     """count, accuracy, macro means over labels, unparsed count and rate."""
     cells = confusion(df, truth, predicted)
     whole = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"), F.coalesce(F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("n"))), F.lit(0)).alias("correct"), F.coalesce(F.sum(F.when(F.col("predicted") == UNPARSED, F.col("n"))), F.lit(0)).alias("unparsed"))
-    macro = classification_by_label(df, truth, predicted).agg(*(F.coalesce(F.avg(m), F.lit(0.0)).alias(f"macro_{m}") for m in ("precision", "recall", "f1")))
+    macro = _by_label(cells).agg(*(F.coalesce(F.avg(m), F.lit(0.0)).alias(f"macro_{m}") for m in ("precision", "recall", "f1")))
     return whole.join(F.broadcast(macro)).select("count", safe_divide("correct", "count").alias("accuracy"), "macro_precision", "macro_recall", "macro_f1", "unparsed", safe_divide("unparsed", "count").alias("unparsed_rate"))  # one row each
 
 

@@ -15,6 +15,7 @@ from sightline.operators import joins as J
 from sightline.operators import metrics as M
 from sightline.operators import sampling as S
 from sightline.operators import validate as C
+from sightline.plans import evaluation_sql as X
 from sightline.plans import parser_sql as P
 from sightline.plans import views
 from sightline.plans.views import documents, images, pixels, predictions, records, table, with_views
@@ -86,44 +87,44 @@ def fn_stable_key(spark, d):
 _OBJ = f"SELECT prediction_no, run_id, instruction_id, task_family, category, condition, defect_type, location, visual_severity, prediction, {P.json_object('prediction')} AS obj FROM pred WHERE prediction IS NOT NULL"
 
 
-def _said(spark, d):
-    return predictions(spark, d).filter("prediction IS NOT NULL")
+def _said(spark, d, *columns: str):
+    """The rows that hold a prediction, with just these columns and it."""
+    return predictions(spark, d, "prediction", *columns).filter("prediction IS NOT NULL")
 
 
-def _parsed(spark, d, what: str, task: str | None = None):
-    rows = _said(spark, d)
-    said = parsers.parse(rows.filter(F.col("task_family") == task) if task else rows, "prediction", [what])
-    return cut_lineage(said, "said")  # else filters on what is said are pushed below the parser and run it twice
+def _parsed(spark, d, what: str, *columns: str, task: str | None = None):
+    rows = _said(spark, d, *columns, *(["task_family"] if task else []))
+    return parsers.parse(rows.filter(F.col("task_family") == task) if task else rows, "prediction", [what])
 
 
 @query("SELECT prediction_no, obj IS NOT NULL AS is_object, array_to_string(list_sort(json_keys(obj)), ',') AS keys FROM said", said=_OBJ)
 def fn_parse_json_loose(spark, d):
-    return _parsed(spark, d, "obj").select("prediction_no", F.col("obj").isNotNull().alias("is_object"), F.array_join(F.array_sort(F.json_object_keys("obj")), ",").alias("keys"))
+    return _parsed(spark, d, "obj", "prediction_no").select("prediction_no", F.col("obj").isNotNull().alias("is_object"), F.array_join(F.array_sort(F.json_object_keys("obj")), ",").alias("keys"))
 
 
 @query(f"SELECT prediction_no, {P.condition('prediction', 'obj')} AS said FROM said", said=_OBJ)
 def fn_parse_condition(spark, d):
-    return _parsed(spark, d, "said_condition").select("prediction_no", F.col("said_condition").alias("said"))
+    return _parsed(spark, d, "said_condition", "prediction_no").select("prediction_no", F.col("said_condition").alias("said"))
 
 
 @query(f"SELECT prediction_no, {P.product('prediction', 'obj')} AS said FROM said", said=_OBJ)
 def fn_parse_product(spark, d):
-    return _parsed(spark, d, "said_product").select("prediction_no", F.col("said_product").alias("said"))
+    return _parsed(spark, d, "said_product", "prediction_no").select("prediction_no", F.col("said_product").alias("said"))
 
 
 @query(f"SELECT prediction_no, {P.location('prediction', 'obj')} AS said FROM said", said=_OBJ)
 def fn_parse_location(spark, d):
-    return _parsed(spark, d, "said_location").select("prediction_no", F.col("said_location").alias("said"))
+    return _parsed(spark, d, "said_location", "prediction_no").select("prediction_no", F.col("said_location").alias("said"))
 
 
 @query(f"SELECT prediction_no, {P.severity('prediction', 'obj')} AS said FROM said", said=_OBJ)
 def fn_parse_severity(spark, d):
-    return _parsed(spark, d, "said_severity").select("prediction_no", F.col("said_severity").alias("said"))
+    return _parsed(spark, d, "said_severity", "prediction_no").select("prediction_no", F.col("said_severity").alias("said"))
 
 
 @query("SELECT prediction_no, " + ", ".join(f"{v} AS {k}" for k, v in P.uncertainty("prediction").items()) + " FROM said", said=_OBJ)
 def fn_parse_uncertainty(spark, d):
-    return parsers.parse(_said(spark, d), "prediction", list(parsers.UNCERTAINTY)).select("prediction_no", *parsers.UNCERTAINTY)
+    return parsers.parse(_said(spark, d, "prediction_no"), "prediction", list(parsers.UNCERTAINTY)).select("prediction_no", *parsers.UNCERTAINTY)
 
 
 _VOC = "SELECT list_sort(list_distinct(flatten(list(" + P.atoms("defect_type") + ")))) AS words FROM pred"
@@ -131,16 +132,16 @@ _VOC = "SELECT list_sort(list_distinct(flatten(list(" + P.atoms("defect_type") +
 
 @query(f"SELECT prediction_no, array_to_string({P.defects('prediction', 'obj', 'words')}, '+') AS said FROM said, voc", said=_OBJ, voc=_VOC)
 def fn_parse_defects(spark, d):
-    rows = _said(spark, d)
-    words = parsers.vocabulary_atoms(predictions(spark, d), "defect_type")
+    rows = _said(spark, d, "prediction_no")
+    words = parsers.vocabulary_atoms(predictions(spark, d, "defect_type", "run_id", "instruction_id"), "defect_type")
     rows = parsers.parse(rows.join(F.broadcast(words)), "prediction", ["said_defects"], "vocabulary")  # words: one row
     return rows.select("prediction_no", F.array_join("said_defects", "+").alias("said"))
 
 
-@query()
+@query(f"SELECT prediction_no, array_to_string({P.semantic('prediction', 'obj', 'words')}, '+') AS said FROM said, voc", said=_OBJ, voc=_VOC)
 def fn_parse_defects_semantic(spark, d):
-    rows = _said(spark, d)
-    words = parsers.vocabulary_atoms(predictions(spark, d), "defect_type")
+    rows = _said(spark, d, "prediction_no")
+    words = parsers.vocabulary_atoms(predictions(spark, d, "defect_type", "run_id", "instruction_id"), "defect_type")
     rows = parsers.parse(rows.join(F.broadcast(words)), "prediction", ["said_semantic"], "vocabulary")  # words: one row
     return rows.select("prediction_no", F.array_join("said_semantic", "+").alias("said"))
 
@@ -409,7 +410,7 @@ _METRIC_VIEWS = {"said": _OBJ, "bin": _BINARY, "cells": _CELLS, "lab": _LABELS,
 
 
 def _binary(spark, d):
-    rows = _parsed(spark, d, "said_condition", "binary_inspection").filter("condition IS NOT NULL")
+    rows = _parsed(spark, d, "said_condition", "run_id", "category", "condition", task="binary_inspection").filter("condition IS NOT NULL")
     return rows.select("run_id", "category", F.col("condition").alias("truth"), F.col("said_condition").alias("said"))
 
 
@@ -444,8 +445,8 @@ _SET_VIEWS = {"said": _OBJ, "voc": _VOC, "sets": _SETS, "scored": _SET_SCORES}
 
 
 def _sets(spark, d):
-    p = predictions(spark, d)
-    rows = cut_lineage(E.parsed(p.filter("task_family = 'defect_identification'"), p), "parsed")
+    p = predictions(spark, d, "prediction_no", "task_family", "category", "defect_type", "prediction")
+    rows = E.parsed(p.filter("task_family = 'defect_identification'"), predictions(spark, d, "run_id", "instruction_id", "defect_type"))
     return rows.withColumns(M.set_scores("true_defects", "said_defects"))
 
 
@@ -465,41 +466,45 @@ _CELL = lambda c: f"(list_position({V.LOCATIONS!r}, {c}) - 1)"
 
 @query(f"""SELECT prediction_no, truth, said, coalesce(abs({_CELL("truth")} // 3 - {_CELL("said")} // 3) <= 1 AND abs({_CELL("truth")} % 3 - {_CELL("said")} % 3) <= 1, false) AS adjacent FROM place""", said=_OBJ, place=_PLACE)
 def met_adjacent(spark, d):
-    rows = _parsed(spark, d, "said_location", "localization").select("prediction_no", F.col("location").alias("truth"), F.col("said_location").alias("said"))
+    rows = _parsed(spark, d, "said_location", "prediction_no", "location", task="localization").select("prediction_no", F.col("location").alias("truth"), F.col("said_location").alias("said"))
     return rows.withColumn("adjacent", M.adjacent("truth", "said"))
 
 
+_EVALUATION_COLUMNS = ["prediction_no", "run_id", "instruction_id", "image_id", "task_family", "category", "condition", "defect_type", "location", "visual_severity", "prediction"]
+
+
 def _evaluated(spark, d):
-    p = predictions(spark, d)
-    return cut_lineage(E.evaluated(cut_lineage(E.parsed(p), "parsed")), "evaluated")
+    """All predictions with their scores and failure tags; written once, as every report reads them more than once."""
+    p = predictions(spark, d, *_EVALUATION_COLUMNS)
+    return cut_lineage(E.evaluated(E.parsed(p, predictions(spark, d, "run_id", "instruction_id", "defect_type"))), "evaluated")
 
 
-@query()
+@query("SELECT prediction_no, task_family, array_to_string(tags, ',') AS tags, round(fact_coverage, 6) AS fact_coverage FROM ev", **X.VIEWS)
 def met_eval_row(spark, d):
     return _evaluated(spark, d).select("prediction_no", "task_family", F.array_join("tags", ",").alias("tags"), F.round("fact_coverage", 6).alias("fact_coverage"))
 
 
-@query()
+@query("SELECT * FROM tm", **X.TASK_VIEWS)
 def met_task_aggregate(spark, d):
     return E.task_metrics(_evaluated(spark, d)).withColumn("value", F.round("value", 6))
 
 
-@query()
+@query(X.CATEGORIES, **X.VIEWS)
 def met_category_rollup(spark, d):
-    return E.category_rollup(_evaluated(spark, d))
+    return E.category_rollup(_evaluated(spark, d)).withColumns({c: F.round(c, 9) for c in ("failure_rate", "root_cause_rate", "safety_claim_rate")})
 
 
-@query()
+@query(X.TAGS, **X.VIEWS)
 def met_overall(spark, d):
     return E.overall(_evaluated(spark, d))
 
 
-@query()
+@query("SELECT prediction_no, task_family FROM unp", **X.VIEWS, unp=X.UNPARSED)
 def met_parse_error_rows(spark, d):
     return E.unparsed_rows(_evaluated(spark, d)).select("prediction_no", "task_family")
 
 
-@query()
+@query(X.FAILURE_SQL, **X.FAILURE_VIEWS)
 def met_failure_analysis(spark, d):
     return E.failure_analysis(_evaluated(spark, d))
 

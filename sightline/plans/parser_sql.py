@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from sightline.functions import vocabulary as V
-from sightline.functions.parsers import ORDINALS
+from sightline.functions.parsers import ORDINALS, any_of
 from sightline.plans.views import strip_sql
 
 
@@ -52,7 +52,7 @@ def _phrases(x: str, phrases: list[str]) -> str:
 
 
 def _condition_text(x: str) -> str:
-    return f"CASE WHEN regexp_matches({x}, '{V.NORMAL_PATTERN}') THEN 'normal' WHEN regexp_matches({x}, '{V.ANOMALOUS_PATTERN}') THEN 'anomalous' WHEN {_phrases(x, V.NORMAL_PHRASES)} THEN 'normal' END"
+    return f"CASE WHEN regexp_matches({x}, '{any_of(V.NORMAL_PATTERNS)}') THEN 'normal' WHEN regexp_matches({x}, '{any_of(V.ANOMALOUS_PATTERNS)}') THEN 'anomalous' WHEN {_phrases(x, V.NORMAL_PHRASES)} THEN 'normal' END"
 
 
 def condition(x: str, obj: str) -> str:
@@ -104,12 +104,48 @@ def canonical(x: str) -> str:
     return f"list_sort(list_distinct(list_transform({x}, lambda a: CASE a {whens} ELSE a END)))"
 
 
+_DEFECT_KEYS = ("defect_type", "defect", "issue")
+
+
+def _defect_kind(obj: str) -> str:
+    return "CASE " + " ".join(f"WHEN {has(obj, k)} THEN json_type({obj}, '$.{k}')" for k in _DEFECT_KEYS) + " END"
+
+
+def _listed(obj: str) -> str:
+    """Atoms of the strings in a JSON list."""
+    items = "CASE " + " ".join(f"WHEN {has(obj, k)} THEN json_extract({obj}, '$.{k}[*]')" for k in _DEFECT_KEYS) + " END"
+    strings = f"list_transform(list_filter({items}, lambda i: json_type(i) = 'VARCHAR'), lambda i: {label('json_extract_string(i, ' + chr(39) + '$' + chr(39) + ')')})"
+    return f"list_sort(list_distinct(list_filter({strings}, lambda a: a <> '')))"
+
+
+def _holds(x: str, a: str) -> str:
+    return f"contains('_' || {label(x)} || '_', '_' || {a} || '_')"
+
+
+def _defects(x: str, obj: str, by_text: str, wrap) -> str:
+    kind, none = _defect_kind(obj), "CAST([] AS VARCHAR[])"
+    return f"""CASE WHEN {obj} IS NOT NULL AND coalesce({kind}, 'NULL') = 'NULL' THEN {none} WHEN {obj} IS NOT NULL AND {kind} = 'VARCHAR' THEN {wrap(atoms(first_present(obj, *_DEFECT_KEYS)))}
+      WHEN {obj} IS NOT NULL AND {kind} = 'ARRAY' THEN {wrap(_listed(obj))} ELSE {by_text} END"""
+
+
 def defects(x: str, obj: str, vocabulary: str) -> str:
-    """Strict; a JSON list isn't read."""
-    keys = ("defect_type", "defect", "issue")
-    kind = "CASE " + " ".join(f"WHEN {has(obj, k)} THEN json_type({obj}, '$.{k}')" for k in keys) + " END"
-    by_text = f"list_sort(list_filter({vocabulary}, lambda a: a <> '' AND contains('_' || {label(x)} || '_', '_' || a || '_')))"
-    return f"CASE WHEN {obj} IS NOT NULL AND coalesce({kind}, 'NULL') = 'NULL' THEN CAST([] AS VARCHAR[]) WHEN {obj} IS NOT NULL AND {kind} = 'VARCHAR' THEN {atoms(first_present(obj, *keys))} ELSE {by_text} END"
+    """Strict."""
+    return _defects(x, obj, f"list_sort(list_filter({vocabulary}, lambda a: a <> '' AND {_holds(x, 'a')}))", lambda a: a)
+
+
+def _canonical_each(x: str) -> str:
+    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.DEFECT_ALIASES.items())
+    return f"list_transform({x}, lambda c: CASE c {whens} ELSE c END)"
+
+
+def semantic(x: str, obj: str, vocabulary: str) -> str:
+    """With aliases: a single-word alias in the text counts unless a longer alias there holds the word."""
+    found = f"list_filter({sorted(V.DEFECT_ALIASES)!r}, lambda a: {_holds(x, 'a')})"
+    accepted = f"list_filter({found}, lambda a: contains(a, '_') OR len(list_filter({found}, lambda b: b <> a AND list_contains(string_split(b, '_'), a))) = 0)"
+    matches = f"list_filter({vocabulary}, lambda a: a <> '' AND {_holds(x, 'a')})"
+    known = f"list_concat({_canonical_each(vocabulary)}, {_canonical_each(found)})"
+    by_text = f"list_sort(list_distinct(list_intersect(list_concat({_canonical_each(matches)}, {_canonical_each(accepted)}), {known})))"
+    return _defects(x, obj, by_text, canonical)
 
 
 def uncertainty(x: str) -> dict[str, str]:

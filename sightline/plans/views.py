@@ -1,8 +1,12 @@
-"""Deduplicated, canonical views of the domain tables, and the same as SQL."""
+"""Deduplicated, canonical views of the domain tables, and the same as SQL.
+
+A view takes the columns that its caller wants: one aggregation picks the winning row of a key and carries just these, so that the scan reads and the
+shuffle moves nothing else. Without a list each column is an aggregate of its own, which lets the optimizer drop those that the query doesn't use.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.functions.text import canonical_id, canonical_split, canonical_token, strip
@@ -17,7 +21,17 @@ def _blank(c):
     return F.nullif(strip(c), F.lit(""))
 
 
-def images(spark: SparkSession, d: str) -> DataFrame:
+def _winners(rows: DataFrame, keys: list[str], columns: list[str], wanted: tuple[str, ...], pick, order: Column) -> DataFrame:
+    """Of each key the row that ``pick`` (min_by or max_by) finds by ``order``."""
+    if not wanted:
+        return rows.groupBy(*keys).agg(*(pick(F.col(c), order).alias(c) for c in columns))
+    carried = [c for c in wanted if c not in keys]
+    if not carried:
+        return rows.select(*wanted).distinct()
+    return rows.groupBy(*keys).agg(pick(F.struct(*carried), order).alias("r")).select(*keys, "r.*").select(*wanted)
+
+
+def images(spark: SparkSession, d: str, *wanted: str) -> DataFrame:
     """One row per image: the first ingested."""
     digest = canonical_id("sha256")
     cols = {
@@ -28,10 +42,10 @@ def images(spark: SparkSession, d: str) -> DataFrame:
     }
     rows = table(spark, d, "images").select(*(c.alias(k) for k, c in cols.items())).filter("image_id IS NOT NULL")
     order = F.struct("ingested_at", F.coalesce("annotation_row", F.lit(2**31 - 1)), F.coalesce("sha256", F.lit("~")), F.coalesce("defect_type", F.lit("~")))
-    return rows.groupBy("image_id").agg(F.min_by(F.struct(*(k for k in cols if k != "image_id")), order).alias("r")).select("image_id", "r.*")
+    return _winners(rows, ["image_id"], [k for k in cols if k != "image_id"], wanted, F.min_by, order)
 
 
-def records(spark: SparkSession, d: str) -> DataFrame:
+def records(spark: SparkSession, d: str, *wanted: str) -> DataFrame:
     """One row per instruction record: the latest delivery."""
     m = message_fields()
     cols = {
@@ -40,17 +54,17 @@ def records(spark: SparkSession, d: str) -> DataFrame:
         "location": canonical_token("metadata.location"), "visual_severity": canonical_token("metadata.visual_severity"), "answer_format": canonical_token("metadata.answer_format"), "delivery_id": F.col("delivery_id"),
     }
     rows = table(spark, d, "instructions").select(canonical_id("instruction_id").alias("instruction_id"), F.col("delivered_at"), *(c.alias(k) for k, c in cols.items())).filter("instruction_id IS NOT NULL")
-    return rows.groupBy("instruction_id").agg(F.max_by(F.struct(*cols), F.struct("delivered_at", "delivery_id")).alias("r")).select("instruction_id", "r.*")
+    return _winners(rows, ["instruction_id"], list(cols), wanted, F.max_by, F.struct("delivered_at", "delivery_id"))
 
 
-def predictions(spark: SparkSession, d: str) -> DataFrame:
+def predictions(spark: SparkSession, d: str, *wanted: str) -> DataFrame:
     """One row per run and instruction: the latest answer."""
     cols = {
         "image_id": canonical_token("image_id"), "task_family": canonical_token("task_family"), "category": canonical_token("category"), "condition": canonical_token("condition"), "defect_type": _blank("defect_type"),
         "location": canonical_token("location"), "visual_severity": canonical_token("visual_severity"), "prediction": F.col("prediction"), "error": F.col("error"), "generated_token_count": F.col("generated_token_count"), "prediction_no": F.col("prediction_no"),
     }
     rows = table(spark, d, "predictions").select("run_id", canonical_id("instruction_id").alias("instruction_id"), "generated_at_utc", *(c.alias(k) for k, c in cols.items())).filter("instruction_id IS NOT NULL AND run_id IS NOT NULL")
-    return rows.groupBy("run_id", "instruction_id").agg(F.max_by(F.struct(*cols), F.struct("generated_at_utc", "prediction_no")).alias("r")).select("run_id", "instruction_id", "r.*")
+    return _winners(rows, ["run_id", "instruction_id"], list(cols), wanted, F.max_by, F.struct("generated_at_utc", "prediction_no"))
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
