@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions import vocabulary as V
-from sightline.functions.text import ColumnOrName, norm_label, norm_text, split_compound, strip
+from sightline.functions.text import ColumnOrName, built_once, norm_label, norm_text, split_compound, strip
 
 
 def _only_object(t: Column) -> Column:
@@ -65,25 +65,45 @@ def _first_present(*keys: str) -> Column:
     return out
 
 
+def _padded(label: str) -> Column:
+    return F.concat(F.lit("_"), F.col(label), F.lit("_"))
+
+
+def _apart(names: Column) -> Column:
+    """``names`` as they are, by a function that no generated stage takes in: it ends the stage there, as all steps in one outgrow what the JVM compiles."""
+    return F.filter(names, lambda k: k.isNotNull())
+
+
+@built_once
+def _steps(column: str) -> list[dict[str, Column]]:
+    """The helper columns of ``with_parts``, step by step."""
+    t = F.col("__t")
+    alone = lambda k: F.when(F.col(f"__p{k}").isNotNull() & F.try_variant_get(F.col(f"__p{k}"), "$[1]", "variant").isNull(), F.col(f"__{k}"))
+    return [
+        {"__t": strip(column)},
+        {"__u": F.when(F.contains(t, F.lit("```")), strip(F.regexp_replace(t, "(?i)```(json)?", ""))), "__b": F.when(F.contains(t, F.lit("{")), F.regexp_extract(t, r"(?s)\{.*\}", 0))},
+        {f"__p{k}": F.try_parse_json(F.when(F.col(f"__{k}").startswith("{") & F.col(f"__{k}").endswith("}"), F.concat(F.lit("["), F.col(f"__{k}"), F.lit("]")))) for k in "tub"},
+        {"obj": F.coalesce(*map(alone, "tub"))},
+        {"__v": F.try_parse_json("obj"), "__keys": _apart(F.coalesce(F.json_object_keys("obj"), F.array().cast("array<string>"))), "__text": norm_text(column), "__label": norm_label(column)},
+        {f"__f_{k}": F.try_variant_get("__v", f"$.{k}", "variant") for k in FIELDS},
+        {f"__k_{k}": F.coalesce(F.schema_of_variant(f"__f_{k}"), F.lit("")) for k in FIELDS},
+        {f"__s_{k}": F.when(F.col(f"__k_{k}").isin(["STRING", "BOOLEAN"] if k in V.CONDITION_FIELDS else ["STRING"]), F.try_variant_get(f"__f_{k}", "$", "string")) for k in FIELDS},
+        {"__c": F.coalesce(*map(_s, V.CONDITION_FIELDS)), "__l": _first_present("location", "region"), "__sv": norm_label(_first_present("visual_severity", "severity")), "__d": norm_label(_first_present("defect_type", "defect"))},
+        {"__c_label": norm_label("__c"), "__c_text": norm_text("__c"), "__apart": _apart(F.col("__keys")), "__l_label": norm_label("__l"), "__l_text": norm_text("__l"), **{f"__p_{k}": norm_label(_s(k)) for k in PRODUCT_FIELDS}},
+        # labels between underscores, in which whole words and phrases are looked for
+        {"__keys": F.col("__apart"), "__in_label": _padded("__label"), "__in_l": _padded("__l_label"), **{f"__in_{k}": _padded(f"__p_{k}") for k in PRODUCT_FIELDS}},
+    ]
+
+
 def with_parts(df: DataFrame, column: str) -> DataFrame:
     """Adds what parsers share, step by step, so that each step is computed once: ``obj``, the text of the JSON object, and helper columns.
 
     One step's columns are used several times by the next, which keeps the optimizer from merging them into one huge expression.
     Columns that no later expression needs are pruned.
     """
-    t = F.col("__t")
-    df = df.withColumn("__t", strip(column))
-    df = df.withColumns({"__u": F.when(F.contains(t, F.lit("```")), strip(F.regexp_replace(t, "(?i)```(json)?", ""))), "__b": F.regexp_extract(t, r"(?s)\{.*\}", 0)})
-    df = df.withColumns({f"__p{k}": F.try_parse_json(F.when(F.col(f"__{k}").startswith("{") & F.col(f"__{k}").endswith("}"), F.concat(F.lit("["), F.col(f"__{k}"), F.lit("]")))) for k in "tub"})
-    alone = lambda k: F.when(F.col(f"__p{k}").isNotNull() & F.try_variant_get(F.col(f"__p{k}"), "$[1]", "variant").isNull(), F.col(f"__{k}"))
-    df = df.withColumn("obj", F.coalesce(*map(alone, "tub"))).drop("__u", "__b", "__pt", "__pu", "__pb")
-    df = df.withColumns({"__v": F.try_parse_json("obj"), "__keys": F.coalesce(F.json_object_keys("obj"), F.array().cast("array<string>")), "__text": norm_text(column), "__label": norm_label(column)})
-    df = df.withColumns({f"__f_{k}": F.try_variant_get("__v", f"$.{k}", "variant") for k in FIELDS})
-    df = df.withColumns({f"__k_{k}": F.coalesce(F.schema_of_variant(f"__f_{k}"), F.lit("")) for k in FIELDS})
-    df = df.withColumns({f"__s_{k}": F.when(F.col(f"__k_{k}").isin(["STRING", "BOOLEAN"] if k in V.CONDITION_FIELDS else ["STRING"]), F.try_variant_get(f"__f_{k}", "$", "string")) for k in FIELDS})
-    df = df.withColumns({"__c": F.coalesce(*map(_s, V.CONDITION_FIELDS)), "__l": _first_present("location", "region"), "__sv": norm_label(_first_present("visual_severity", "severity")), "__d": norm_label(_first_present("defect_type", "defect"))})
-    products = {f"__p_{k}": norm_label(_s(k)) for k in PRODUCT_FIELDS}
-    return df.withColumns({"__c_label": norm_label("__c"), "__c_text": norm_text("__c"), "__l_label": norm_label("__l"), "__l_text": norm_text("__l"), **products})
+    for step in _steps(column):
+        df = df.withColumns(step)
+    return df
 
 
 def _any_phrase(text: Column, phrases: list[str]) -> Column:
@@ -103,6 +123,7 @@ def _condition_of_text(text: Column) -> Column:
     )
 
 
+@built_once
 def said_condition() -> Column:
     """normal, anomalous or null."""
     label = F.col("__c_label")
@@ -112,17 +133,17 @@ def said_condition() -> Column:
     return F.coalesce(F.when(F.col("obj").isNotNull(), F.coalesce(by_value, by_defect)), _condition_of_text(F.col("__text")))
 
 
-def _longest_alias(text: Column, aliases: dict[str, str]) -> Column:
+def _longest_alias(padded: Column, aliases: dict[str, str]) -> Column:
     """The value of the longest alias that the padded text holds; of equal length the one stated first."""
-    padded = F.concat(F.lit("_"), text, F.lit("_"))
     ordered = sorted(aliases, key=len, reverse=True)
     return F.coalesce(*(F.when(F.contains(padded, F.lit(f"_{a}_")), F.lit(aliases[a])) for a in ordered))
 
 
+@built_once
 def said_product() -> Column:
     """One of the categories, or null."""
     aliases = {k: k for k in V.CATEGORIES} | V.PRODUCT_ALIASES
-    return F.coalesce(*(_longest_alias(F.col(f"__p_{k}"), aliases) for k in PRODUCT_FIELDS), _longest_alias(F.col("__label"), aliases))
+    return F.coalesce(*(_longest_alias(F.col(f"__in_{k}"), aliases) for k in PRODUCT_FIELDS), _longest_alias(F.col("__in_label"), aliases))
 
 
 #: Ordinals of rows and columns.
@@ -139,12 +160,14 @@ def _grid_cell(text: Column) -> Column:
     return F.when(row.isNotNull() & column.isNotNull(), F.when((row == 2) & (column == 2), "center").otherwise(name))
 
 
+@built_once
 def said_location() -> Column:
     """One of the nine grid cells, or null."""
     aliases = {k: k for k in V.LOCATIONS} | V.LOCATION_ALIASES
-    return F.coalesce(_grid_cell(F.col("__l_text")), _longest_alias(F.col("__l_label"), aliases), _grid_cell(F.col("__text")), _longest_alias(F.col("__label"), aliases))
+    return F.coalesce(_grid_cell(F.col("__l_text")), _longest_alias(F.col("__in_l"), aliases), _grid_cell(F.col("__text")), _longest_alias(F.col("__in_label"), aliases))
 
 
+@built_once
 def said_severity() -> Column:
     """none, minor, moderate, major or null."""
     words = F.create_map(*(F.lit(x) for pair in V.SEVERITY_WORDS.items() for x in pair))
@@ -163,15 +186,21 @@ def vocabulary_atoms(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.explode(split_compound(column)).alias("a")).agg(F.array_sort(F.collect_set("a")).alias("vocabulary"))
 
 
-def _accepted_aliases(padded: Column, words: Column) -> Column:
-    """Aliases in the text, longest first, without those that are a single word of a longer accepted one."""
-    ordered = F.array(*(F.lit(a) for a in sorted(V.DEFECT_ALIASES, key=len, reverse=True)))
-    found = F.filter(ordered, lambda a: F.contains(padded, F.concat(F.lit("_"), a, F.lit("_"))) | (~F.contains(a, F.lit("_")) & F.array_contains(words, a)))
-    empty = F.array().cast("array<string>")
-    return F.aggregate(found, empty, lambda acc, a: F.when(F.exists(acc, lambda longer: (longer != a) & F.array_contains(F.split(longer, "_"), a)), acc).otherwise(F.concat(acc, F.array(a))))
+@built_once
+def _found_aliases() -> Column:
+    """The defect aliases that the text names, longest first."""
+    ordered = sorted(V.DEFECT_ALIASES, key=len, reverse=True)
+    return F.array_compact(F.array(*(F.when(F.contains(F.col("__in_label"), F.lit(f"_{a}_")), F.lit(a)) for a in ordered)))
+
+
+def _accepted_aliases(found: Column) -> Column:
+    """Without those that are a single word of a longer one."""
+    inside = lambda a, longer: (longer != a) & F.contains(F.concat(F.lit("_"), longer, F.lit("_")), F.concat(F.lit("_"), a, F.lit("_")))
+    return F.filter(found, lambda a: F.contains(a, F.lit("_")) | ~F.exists(found, lambda longer: inside(a, longer)))
 
 
-def said_defects(vocabulary: Column, semantic: bool = False) -> Column:
+@built_once
+def said_defects(vocabulary: str, semantic: bool = False) -> Column:
     """Sorted defect atoms: those of the JSON field, else those of the vocabulary that the text names."""
     keys = ("defect_type", "defect", "issue")
     value, kind = F.lit(None).cast("variant"), F.lit("VOID")
@@ -180,17 +209,15 @@ def said_defects(vocabulary: Column, semantic: bool = False) -> Column:
     items = F.filter(F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>")), lambda v: F.schema_of_variant(v) == "STRING")
     listed = F.filter(F.transform(items, lambda v: norm_label(F.try_variant_get(v, "$", "string"))), lambda a: a != "")
     as_list, as_text = F.array_sort(F.array_distinct(listed)), split_compound(_first_present(*keys))
-    padded = F.concat(F.lit("_"), F.col("__label"), F.lit("_"))
+    padded, vocabulary = F.col("__in_label"), F.col(vocabulary)
     matches = F.filter(vocabulary, lambda a: (a != "") & F.contains(padded, F.concat(F.lit("_"), a, F.lit("_"))))
     none = F.array().cast("array<string>")
     wrap = canonical_atoms if semantic else (lambda a: a)
     by_text = F.array_sort(matches)
     if semantic:
         aliases = F.create_map(*(F.lit(x) for pair in V.DEFECT_ALIASES.items() for x in pair))
-        by_alias = F.transform(_accepted_aliases(padded, F.split("__label", "_")), lambda a: F.element_at(aliases, a))
-        in_text = F.transform(F.filter(F.array(*map(F.lit, V.DEFECT_ALIASES)), lambda a: F.contains(padded, F.concat(F.lit("_"), a, F.lit("_")))), lambda a: F.element_at(aliases, a))
-        known = F.array_union(canonical_atoms(vocabulary), in_text)
-        by_text = F.array_sort(F.array_intersect(F.array_union(canonical_atoms(matches), by_alias), known))
+        by_alias = F.transform(_accepted_aliases(F.col("__aliases")), lambda a: F.element_at(aliases, a))
+        by_text = F.array_sort(F.array_distinct(F.concat(canonical_atoms(matches), by_alias)))
     there = F.col("obj").isNotNull()
     return F.when(there & (kind == "VOID"), none).when(there & (kind == "STRING"), wrap(as_text)).when(there & kind.startswith("ARRAY"), wrap(as_list)).otherwise(by_text)
 
@@ -210,9 +237,11 @@ def parse(df: DataFrame, column: str, what: list[str], vocabulary: str | None =
         if name in makers:
             out[name] = makers[name]()
         elif name in ("said_defects", "said_semantic"):
-            out[name] = said_defects(F.col(vocabulary), name == "said_semantic")
+            out[name] = said_defects(vocabulary, name == "said_semantic")
         elif name in UNCERTAINTY:
             out[name] = _any_phrase(F.col("__text"), UNCERTAINTY[name])
     parts = with_parts(df, column)
+    if "said_semantic" in what:
+        parts = parts.withColumn("__aliases", _found_aliases())
     keep = [c for c in df.columns if c != vocabulary]
     return parts.select(*keep, *(["obj"] if "obj" in what else []), *(c.alias(k) for k, c in out.items()))

@@ -5,10 +5,28 @@ Python's ``strip`` and ``\\s`` treat every Unicode blank as a blank, so the patt
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
+_built: dict[tuple, tuple] = {}
+
+
+def built_once(f: Callable) -> Callable:
+    """Keeps what a function without side effects builds of Columns, which never change, as each part of a large expression costs a call into the JVM."""
+
+    @wraps(f)
+    def build(*args):
+        key, gateway = (f.__module__, f.__qualname__, args), SparkContext._gateway
+        if key not in _built or _built[key][0] is not gateway:
+            _built[key] = (gateway, f(*args))
+        return _built[key][1]
+
+    return build
 
 
 def col(c: ColumnOrName) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import vocabulary as V
 from sightline.functions.parsers import UNCERTAINTY, canonical_atoms, parse, vocabulary_atoms
-from sightline.functions.text import split_compound
+from sightline.functions.text import built_once, split_compound
 from sightline.operators.metrics import UNPARSED, adjacent, safe_divide, set_scores
 from sightline.storage import cut_lineage
 
@@ -33,22 +33,21 @@ def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def evaluated(rows: DataFrame) -> DataFrame:
-    """Parsed rows with scores of all kinds and the sorted failure tags of their task."""
+@built_once
+def _score_steps() -> list[dict[str, Column]]:
+    """The columns of ``evaluated``, step by step."""
     strict, semantic = set_scores("true_defects", "said_defects"), set_scores("true_semantic", "said_semantic")
     keys = F.coalesce(F.json_object_keys("obj"), F.array().cast("array<string>"))
     required = F.array(*map(F.lit, V.REPORT_KEYS))
-    out = rows.withColumns(
-        {
-            "condition_correct": _same("said_condition", "condition"), "product_correct": _same("said_product", "category"), "location_correct": _same("said_location", "location"), "severity_correct": _same("said_severity", "visual_severity"),
-            "adjacent": adjacent("location", "said_location"), **{f"strict_{k}": v for k, v in strict.items()}, **semantic,
-            "json_valid": F.col("obj").isNotNull(), "present": F.size(F.array_intersect(keys, required)), "unsupported": F.size(F.array_except(keys, required)),
-        }
-    )
+    scores = {
+        "condition_correct": _same("said_condition", "condition"), "product_correct": _same("said_product", "category"), "location_correct": _same("said_location", "location"), "severity_correct": _same("said_severity", "visual_severity"),
+        "adjacent": adjacent("location", "said_location"), **{f"strict_{k}": v for k, v in strict.items()}, **semantic,
+        "json_valid": F.col("obj").isNotNull(), "present": F.size(F.array_intersect(keys, required)), "unsupported": F.size(F.array_except(keys, required)),
+    }
     product_ok = F.col("said_product").isNull() | F.col("product_correct")
     location_ok = F.col("said_location").isNull() | F.col("location_correct")
     coverage = (F.col("condition_correct").cast("double") + product_ok.cast("double") + F.col("strict_f1") + location_ok.cast("double")) / 4
-    out = out.withColumns({"schema_valid": F.col("json_valid") & (F.col("present") == len(V.REPORT_KEYS)), "completeness": F.col("present") / F.lit(float(len(V.REPORT_KEYS))), "fact_coverage": coverage})
+    facts = {"schema_valid": F.col("json_valid") & (F.col("present") == len(V.REPORT_KEYS)), "completeness": F.col("present") / F.lit(float(len(V.REPORT_KEYS))), "fact_coverage": coverage}
     task = F.col("task_family")
     report = (task == "structured_report") & F.col("json_valid")
     fact = ~task.isin([t for t in V.TASKS if t not in FACT_TASKS])
@@ -63,7 +62,14 @@ def evaluated(rows: DataFrame) -> DataFrame:
         "r_location": F.when(report & ~F.col("location_correct"), "wrong_location"), "r_severity": F.when(report & ~F.col("severity_correct"), "wrong_severity"),
         "abstain": F.when((task == "uncertainty") & ~F.col("abstains"), "failed_to_abstain"), "facts": F.when(fact & (F.col("fact_coverage") < 1), "incomplete_or_incorrect_facts"),
     }
-    return out.withColumn("tags", F.array_sort(F.array_distinct(F.array_compact(F.array(*tags.values())))))
+    return [scores, facts, {"tags": F.array_sort(F.array_distinct(F.array_compact(F.array(*tags.values()))))}]
+
+
+def evaluated(rows: DataFrame) -> DataFrame:
+    """Parsed rows with scores of all kinds and the sorted failure tags of their task."""
+    for step in _score_steps():
+        rows = rows.withColumns(step)
+    return rows
 
 
 def _truth_and_said() -> tuple[Column, Column]:
