@@ -31,8 +31,22 @@ def location_text() -> Column:
 
 
 def percent_text(ratio: Column) -> Column:
-    """The ratio in percent with three decimals, rounded half up on its decimal form."""
-    return F.format_string("%.3f", ratio * 100)
+    """The ratio in percent with three decimals of its exact binary value, ties to even.
+
+    The built-in format rounds the shortest decimal form, half up, which differs only where that form ends in a 5 at the fourth decimal. There
+    the difference from the tie decides, which two halves of the number give exactly.
+    """
+    r = ratio * 100
+    product = r * 10_000
+    nearest = F.rint(product)
+    split = r * float(2**27 + 1)
+    high = split - (split - r)
+    beyond = (product - nearest) + ((high * 10_000 - product) + (r - high) * 10_000)
+    below = F.floor(nearest / 10).cast("bigint")
+    tie = (F.abs(product - nearest) < 1e-6) & (F.pmod(nearest, F.lit(10.0)) == 5.0)
+    thousandths = below + ((beyond > 0) | ((beyond == 0) & (below % 2 == 1))).cast("bigint")
+    whole = F.floor(thousandths / 1000).cast("bigint")
+    return F.when(tie, F.format_string("%d.%03d", whole, thousandths - whole * 1000)).otherwise(F.format_string("%.3f", r))
 
 
 def _json_text(c: Column) -> Column:

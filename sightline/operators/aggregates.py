@@ -44,7 +44,9 @@ def percentiles(df: DataFrame, value: str) -> DataFrame:
 
     each = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
     whole = each.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("count"), F.min("v").alias("low"), F.max("v").alias("high"), F.sum(F.col("v").cast("double") * F.col("c")).alias("total"))
-    placed = each.join(F.broadcast(whole)).withColumn("g", F.lit(0)).withColumn("key", F.coalesce(F.try_divide((F.col("v") - F.col("low")).cast("double"), (F.col("high") - F.col("low") + 1).cast("double")), F.lit(0.0)))  # whole: one row
+    placed = each.join(F.broadcast(whole)).withColumn("g", F.lit(0))  # whole: one row
+    # on a log scale, so that one very large value doesn't put all others into one bucket
+    placed = placed.withColumn("key", F.coalesce(F.try_divide(F.log1p((F.col("v") - F.col("low")).cast("double")), F.log1p((F.col("high") - F.col("low") + 1).cast("double"))), F.lit(0.0)))
     placed = running_sum(placed, ["g"], "key", ["v"], "c", "before")
 
     def at(index: Column) -> Column:

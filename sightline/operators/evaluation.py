@@ -209,11 +209,24 @@ def error_profile(rows: DataFrame) -> DataFrame:
     return atoms.unionByName(places).groupBy("kind", "category", "item").agg(F.count("*").alias("w"))
 
 
+#: Rows of a table of weights that may be broadcast, as maps per category; beyond it weights are joined by a shuffle.
+MAX_WEIGHTS = 50_000
+
+
 def hard_scores(records: DataFrame, weights: DataFrame) -> DataFrame:
-    """Records with ``score``: the weights of their defect atoms and location under their category, where their task counts them."""
-    defect = F.when(F.col("task_family").isin(V.DEFECT_WEIGHTED_TASKS), canonical_atoms(split_compound("defect_type"))).otherwise(F.array().cast("array<string>"))
-    place = F.when(F.col("task_family").isin(V.LOCATION_WEIGHTED_TASKS) & F.col("location").isNotNull(), F.array(F.col("location"))).otherwise(F.array().cast("array<string>"))
-    items = F.concat(F.transform(defect, lambda a: F.struct(F.lit("defect").alias("kind"), a.alias("item"))), F.transform(place, lambda a: F.struct(F.lit("location").alias("kind"), a.alias("item"))))
-    keyed = records.select("instruction_id", "category", F.explode(items).alias("i")).select("instruction_id", "category", "i.kind", "i.item")
-    found = keyed.join(weights, ["kind", "category", "item"]).groupBy("instruction_id").agg(F.sum("w").cast("bigint").alias("score"))
-    return records.join(found, "instruction_id", "left").withColumn("score", F.coalesce("score", F.lit(0)).cast("bigint"))
+    """Records with ``score``: the weights of their defect atoms and location under their category, where their task counts them.
+
+    Weights are as many as labels, so records look them up in a broadcast map and aren't shuffled.
+    """
+    none = F.array().cast("array<string>")
+    defect = F.when(F.col("task_family").isin(V.DEFECT_WEIGHTED_TASKS), canonical_atoms(split_compound("defect_type"))).otherwise(none)
+    place = F.when(F.col("task_family").isin(V.LOCATION_WEIGHTED_TASKS) & F.col("location").isNotNull(), F.array(F.col("location"))).otherwise(none)
+    items = F.concat(F.transform(defect, lambda a: F.concat(F.lit("defect:"), a)), F.transform(place, lambda a: F.concat(F.lit("location:"), a)))
+    keyed = records.withColumn("__items", items)
+    named = weights.filter("category IS NOT NULL").select("category", F.concat_ws(":", "kind", "item").alias("__item"), F.col("w").cast("bigint").alias("w"))
+    if weights.limit(MAX_WEIGHTS + 1).count() <= MAX_WEIGHTS:
+        maps = named.groupBy("category").agg(F.map_from_entries(F.collect_list(F.struct("__item", "w"))).alias("__weights"))
+        found = F.aggregate("__items", F.lit(0).cast("bigint"), lambda sum_, i: sum_ + F.coalesce(F.try_element_at("__weights", i), F.lit(0)))
+        return keyed.join(F.broadcast(maps), "category", "left").withColumn("score", F.coalesce(found, F.lit(0)).cast("bigint")).drop("__items", "__weights").select(*records.columns, "score")
+    sums = keyed.select("instruction_id", "category", F.explode("__items").alias("__item")).join(named, ["category", "__item"]).groupBy("instruction_id").agg(F.sum("w").cast("bigint").alias("score"))
+    return records.join(sums, "instruction_id", "left").withColumn("score", F.coalesce("score", F.lit(0)).cast("bigint"))

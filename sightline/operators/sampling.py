@@ -120,10 +120,17 @@ def hard_rank(rows: DataFrame, seed: int, by: str, most: int) -> DataFrame:
 
 
 def _best(rows: DataFrame, group: list[str], k: str, seed: int) -> DataFrame:
-    """Per group the ``k`` rows that come first by (score descending, hash)."""
-    highest = rows.agg(F.coalesce(F.max("score"), F.lit(0)).alias("__top"))
-    keyed = rows.join(F.broadcast(highest)).withColumn("__h", tie_breaker(F.lit(seed), "instruction_id")).withColumn("__low", -F.col("score"))  # highest: one row
-    keyed = keyed.withColumn("__key", (F.col("__top") - F.col("score") + unit(F.col("__h"))) / (F.col("__top") + 1))
+    """Per group the ``k`` rows that come first by (score descending, hash).
+
+    Rows per score are counted first, which tells the score at which a group is cut. All above it are taken; those of that score, nearly a whole
+    group where most scores are equal, are split by their hash.
+    """
+    sizes = rows.groupBy(*group, "score").agg(F.count("*").alias("__n"), F.max(F.col(k).cast("bigint")).alias("__most"))
+    upto = Window.partitionBy(*group).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row per distinct score
+    reached = F.sum("__n").over(upto) >= F.col("__most")
+    cuts = cut_lineage(sizes.withColumn("__reached", reached).groupBy(*group).agg(F.max(F.when(F.col("__reached"), F.col("score"))).alias("__cut")), "score-cuts")
+    keyed = rows.join(cuts, group).filter("__cut IS NULL OR score >= __cut").withColumn("__h", tie_breaker(F.lit(seed), "instruction_id"))
+    keyed = keyed.withColumn("__key", ((F.coalesce(F.col("score") == F.col("__cut"), F.lit(False))).cast("int") + unit(F.col("__h"))) / 2).withColumn("__low", -F.col("score"))
     return bottom_k(keyed, group, "__key", ["__low", "__h"], k).select(*rows.columns)
 
 
@@ -170,7 +177,10 @@ def unique_first_round_robin(rows: DataFrame, quotas: DataFrame, seed: int) -> D
     late = F.when(F.col("is_first"), 0).otherwise((F.col("k") < F.coalesce("last", F.lit(""))).cast("int"))
     keyed = keyed.withColumn("late", late).withColumn("u", (F.col("late") + unit(F.col("k"))) / 2).withColumn("one", F.lit(1))
     turns = running_sum(keyed, ["task_family", "s", "is_first"], "u", ["late", "k"], "one", "before").filter(F.col("before") < F.col("quota"))
-    order = Window.partitionBy("task_family").orderBy(F.desc("is_first"), "before", "s")  # at most quota rows per stratum and pass
+    # the first quota rows by pass, turn and stratum, without a task that sees those of all strata
+    turns = turns.withColumn("__key", ((~F.col("is_first")).cast("int") + F.col("before") / F.greatest("quota", F.lit(1))) / 2)
+    turns = bottom_k(cut_lineage(turns, "turns"), ["task_family"], "__key", ["s"], "quota")
+    order = Window.partitionBy("task_family").orderBy(F.desc("is_first"), "before", "s")  # quota rows per task
     return turns.withColumn("rank", F.row_number().over(order).cast("bigint")).filter("rank <= quota").select("instruction_id", "image_id", "task_family", *STRATUM, "rank")
 
 

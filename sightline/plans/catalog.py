@@ -248,10 +248,36 @@ def prj_privileged_marker(spark, d):
     return records(spark, d).select("delivery_id", F.array_join(C.privileged_markers("answer"), ",").alias("markers"))
 
 
-@query()
+_FIRST_SPLIT = f"""SELECT instruction_id, split AS expected FROM (SELECT *, row_number() OVER (PARTITION BY instruction_id ORDER BY delivered_at, delivery_id) AS rn
+  FROM (SELECT {views.id_sql("instruction_id")} AS instruction_id, {views.split_sql("dataset_split")} AS split, delivered_at, delivery_id FROM instructions) WHERE split IS NOT NULL AND instruction_id IS NOT NULL) WHERE rn = 1"""
+_MISSING_KEYS = ", ".join(f"CASE WHEN NOT {P.has('obj', k)} THEN 'missing:{k}' END" for k in sorted(V.REPORT_KEYS))
+_PROBLEMS = f"""SELECT instruction_id, task_family, unnest(list_filter(list_concat([
+    CASE WHEN split IS DISTINCT FROM expected THEN 'wrong split' END, CASE WHEN NOT coalesce(list_contains({V.TASKS!r}, task_family), false) THEN 'unsupported task' END,
+    CASE WHEN {views.strip_sql("coalesce(prompt, '')")} = '' THEN 'empty prompt' END, CASE WHEN {views.strip_sql("coalesce(answer, '')")} = '' THEN 'empty answer' END],
+    list_transform(list_filter({sorted(V.PRIVILEGED_MARKERS)!r}, lambda m: contains(lower(coalesce(answer, '')), m)), lambda m: 'marker:' || m),
+    CASE WHEN answer_format <> 'json' THEN CAST([] AS VARCHAR[]) WHEN obj IS NULL OR NOT (t LIKE '{{%' AND t LIKE '%}}') THEN ['invalid_json'] ELSE [{_MISSING_KEYS}] END,
+    CASE WHEN known IS NULL THEN ['image not found'] WHEN NOT coalesce(width > 0 AND height > 0, false) THEN ['image is empty'] ELSE CAST([] AS VARCHAR[]) END), lambda x: x IS NOT NULL)) AS problem FROM checked"""
+_CHECKED = f"""SELECT r.*, e.expected, i.known, i.width, i.height, CASE WHEN answer_format = 'json' THEN {P.json_object("answer")} END AS obj, {views.strip_sql("answer")} AS t
+  FROM rec r LEFT JOIN expected e USING (instruction_id) LEFT JOIN (SELECT image_id, width, height, true AS known FROM img) i ON r.image_id = i.image_id"""
+_PROBLEM_VIEWS = {"expected": _FIRST_SPLIT, "checked": _CHECKED, "problems": _PROBLEMS}
+
+
+def _record_problems(spark, d):
+    """(instruction_id, task_family, problem) of all records. A record's expected split is the one under which it was delivered first."""
+    rows = records(spark, d, "instruction_id", "image_id", "split", "task_family", "prompt", "answer", "answer_format")
+    split = text.canonical_split("dataset_split")
+    first = table(spark, d, "instructions").select(text.canonical_id("instruction_id").alias("instruction_id"), split.alias("split"), "delivered_at", "delivery_id").filter("split IS NOT NULL AND instruction_id IS NOT NULL")
+    first = first.groupBy("instruction_id").agg(F.min_by("split", F.struct("delivered_at", "delivery_id")).alias("expected"))
+    pictures = images(spark, d, "image_id", "width", "height").withColumn("known", F.lit(True))
+    both = rows.join(first, "instruction_id", "left").join(pictures, "image_id", "left")
+    image = F.when(F.col("known").isNull(), F.array(F.lit("image not found"))).when(~F.coalesce((F.col("width") > 0) & (F.col("height") > 0), F.lit(False)), F.array(F.lit("image is empty"))).otherwise(F.array().cast("array<string>"))
+    problems = C.record_problems("split", "expected", "task_family", "prompt", "answer", "answer_format")
+    return both.select("instruction_id", "task_family", F.explode(F.concat(problems, image)).alias("problem"))
+
+
+@query("SELECT instruction_id, problem FROM problems", **_PROBLEM_VIEWS)
 def prj_record_validate(spark, d):
-    problems = C.record_problems("split", "split", "task_family", "prompt", "answer", "answer_format")
-    return records(spark, d).select("instruction_id", F.explode(problems).alias("problem"))
+    return _record_problems(spark, d).select("instruction_id", "problem")
 
 
 @query("""SELECT r.delivery_id, CASE WHEN r.delivery_id > m.first_id THEN 'instruction_id' END AS duplicate_of FROM (SELECT delivery_id, %s AS k FROM instructions) r
@@ -261,7 +287,25 @@ def prj_first_wins_dedup(spark, d):
     return C.first_wins(rows, ["instruction_id"], ["delivery_id"]).select("delivery_id", "duplicate_of")
 
 
-@query()
+def _norm(x: str) -> str:
+    return P.name(f"coalesce({x}, '')")
+
+
+def _clean(x: str) -> str:
+    return rf"CASE WHEN {x} IS NOT NULL AND {_norm(x)} NOT IN {_strings(C.NULL_WORDS)} THEN regexp_replace(replace({x}, '\', '/'), '^[./]+', '') END"
+
+
+_ROWS = f"""SELECT annotation_path AS file, annotation_row AS row_number, {views.token_sql("category")} AS folder, category AS object, source_split AS split, coalesce(defect_type, condition) AS label, {_clean("image_path")} AS image, {_clean("mask_path")} AS mask,
+  CASE WHEN {_norm("coalesce(defect_type, condition)")} IN {_strings(C.NORMAL_LABELS)} THEN 'normal' WHEN {_norm("coalesce(defect_type, condition)")} NOT IN {_strings(C.NULL_WORDS)} THEN 'anomalous' END AS condition,
+  array_to_string(list_filter(list_transform(string_split(coalesce(defect_type, condition), ','), lambda a: {P.name("a")}), lambda a: a <> ''), ',') AS atoms, coalesce(nullif({_norm("category")}, ''), {P.name(views.token_sql("category"))}) AS chosen FROM images"""
+_RECORDS = rf"""SELECT file, row_number, concat_ws('_', 'visa', chosen, condition, regexp_replace(regexp_extract(image, '([^/]*)$', 1), '\.[^.]*$', '')) AS image_id, chosen AS category, condition, CASE WHEN condition = 'anomalous' THEN atoms END AS defect_type,
+  CASE WHEN {_norm("split")} IN ('train', 'training') THEN 'train' WHEN {_norm("split")} IN ('test', 'testing', 'validation', 'val') THEN 'test' ELSE 'unknown' END AS source_split, image AS image_path, mask AS mask_path,
+  CASE WHEN nullif({_norm("object")}, '') IS NOT NULL AND {_norm("object")} <> {P.name("folder")} THEN 'category differs from folder' WHEN NOT coalesce(list_contains({V.CATEGORIES!r}, chosen), false) THEN 'unexpected category'
+    WHEN condition IS NULL THEN 'label is empty' WHEN image IS NULL THEN 'image path is empty' WHEN condition = 'normal' AND mask IS NOT NULL THEN 'normal row has a mask' WHEN condition = 'anomalous' AND mask IS NULL THEN 'anomalous row has no mask' END AS error FROM anno"""
+_RECORD_VIEWS = {"anno": _ROWS, "parsed_rows": _RECORDS}
+
+
+@query("SELECT * FROM parsed_rows", **_RECORD_VIEWS)
 def prj_row_to_record(spark, d):
     rows = table(spark, d, "images").select(F.col("annotation_path").alias("file"), F.col("annotation_row").alias("row_number"), text.canonical_token("category").alias("folder"), F.col("category").alias("object"), F.col("source_split").alias("split"), F.coalesce("defect_type", "condition").alias("label"), F.col("image_path").alias("image"), F.col("mask_path").alias("mask"), F.lit(None).cast("string").alias("defect_type"))
     return C.rows_to_records(rows)
@@ -352,14 +396,14 @@ def agg_collect_set(spark, d):
     return records(spark, d).groupBy("task_family").agg(joined("category").alias("categories"), joined("condition").alias("conditions"))
 
 
-@query("SELECT split, task_family, count(*) AS n, sha256(string_agg(instruction_id, chr(10) ORDER BY instruction_id) || chr(10)) AS fingerprint FROM rec GROUP BY 1, 2")
+@query("SELECT * FROM prints", prints=X.corpus_print("rec", "split, task_family"))
 def agg_fingerprint(spark, d):
-    return A.fingerprint(records(spark, d), "instruction_id", ["split", "task_family"])
+    return A.corpus_fingerprint(records(spark, d, "instruction_id", "split", "task_family"), "instruction_id", ["split", "task_family"])
 
 
-@query()
+@query("SELECT * FROM prints", prints=X.corpus_print("rec", "split"))
 def agg_corpus_fingerprint(spark, d):
-    return A.corpus_fingerprint(records(spark, d), "instruction_id", ["split"])
+    return A.corpus_fingerprint(records(spark, d, "instruction_id", "split"), "instruction_id", ["split"])
 
 
 @query(f"SELECT bool_and(condition IN ('normal','anomalous')) AS known_conditions, bool_and(width > 0 AND height > 0) AS sizes, bool_or(sha256 IS NULL) AS digests_missing, bool_or(category NOT IN {_strings(V.CATEGORIES)}) AS unexpected FROM img")
@@ -555,15 +599,19 @@ def join_template_cross(spark, d):
     return J.template_cross(images(spark, d).select("image_id", "condition"), _templates(spark), 3, 20).select(F.concat_ws("__", "image_id", "template_id").alias("instruction_id"), "task_family")
 
 
-_W_DEFECT = f"SELECT category, item, count(*) AS w FROM (SELECT category, unnest({P.canonical(P.atoms('defect_type'))}) AS item FROM pred WHERE condition = 'anomalous' AND task_family = 'defect_identification' AND prediction IS NULL) GROUP BY ALL"
+def _mistakes(spark, d):
+    """Weights per (kind, category, item): wrong defects and locations of the validation predictions."""
+    ids = records(spark, d, "instruction_id", "split").filter("split = 'validation'").select("instruction_id")
+    p = cut_lineage(predictions(spark, d, *_EVALUATION_COLUMNS).join(ids, "instruction_id", "left_semi"), "validation")
+    return cut_lineage(E.error_profile(cut_lineage(E.evaluated(E.parsed(p)), "evaluated")), "weights")
+
 
+_WEIGHED_COLUMNS = ["instruction_id", "task_family", "condition", "category", "defect_type", "location"]
 
-@query("SELECT r.instruction_id, CAST(coalesce(sum(w), 0) AS BIGINT) AS score FROM (SELECT instruction_id, category, unnest(" + P.canonical(P.atoms("defect_type")) + ") AS item FROM rec) r LEFT JOIN wd USING (category, item) GROUP BY 1", wd=_W_DEFECT)
+
+@query("SELECT instruction_id, score FROM weighed", **X.HARD_VIEWS)
 def join_weight_lookup(spark, d):
-    atoms = F.explode(parsers.canonical_atoms(text.split_compound("defect_type")))
-    lost = predictions(spark, d).filter("condition = 'anomalous' AND task_family = 'defect_identification' AND prediction IS NULL").select("category", atoms.alias("item"))
-    weights = lost.groupBy("category", "item").agg(F.count("*").alias("w"))
-    return J.weight_lookup(records(spark, d).select("instruction_id", "category", atoms.alias("item")), weights, ["category", "item"], "instruction_id")
+    return E.hard_scores(records(spark, d, *_WEIGHED_COLUMNS), _mistakes(spark, d)).select("instruction_id", "score")
 
 
 # 2.7 windows and samples
@@ -622,18 +670,13 @@ def win_limit_sample(spark, d):
     return S.limit_sample(cut_lineage(records(spark, d).select("instruction_id"), "records"), 500, "instruction_id", SEED)
 
 
-_HARD = """SELECT r.instruction_id, r.task_family, r.condition, r.category, CAST(coalesce(s.score, 0) AS BIGINT) AS score FROM rec r LEFT JOIN (
-  SELECT r.instruction_id, sum(w) AS score FROM (SELECT instruction_id, category, unnest(%s) AS item FROM rec) r JOIN wd USING (category, item) GROUP BY 1) s USING (instruction_id)
-  WHERE r.split = 'train' AND r.task_family IS NOT NULL AND r.condition IS NOT NULL AND r.category IS NOT NULL""" % P.canonical(P.atoms("defect_type"))
-
+def _hard(spark, d, weights=None):
+    """Train records that may be selected, with the weight of the mistakes that they share."""
+    pool = records(spark, d, *_WEIGHED_COLUMNS, "split").filter("split = 'train' AND task_family IS NOT NULL AND condition IS NOT NULL AND category IS NOT NULL")
+    return cut_lineage(E.hard_scores(pool, _mistakes(spark, d) if weights is None else weights).select("instruction_id", "task_family", "condition", "category", "score"), "hard")
 
-def _hard(spark, d):
-    scored = join_weight_lookup(spark, d)
-    rows = records(spark, d).filter("split = 'train' AND task_family IS NOT NULL AND condition IS NOT NULL AND category IS NOT NULL").join(scored, "instruction_id", "left")
-    return cut_lineage(rows.select("instruction_id", "task_family", "condition", "category", F.coalesce("score", F.lit(0)).cast("bigint").alias("score")), "scored")
 
-
-@query("SELECT instruction_id, task_family, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY task_family ORDER BY score DESC, sha256('42:' || instruction_id)) AS rank FROM hard) WHERE rank <= 50", wd=_W_DEFECT, hard=_HARD)
+@query("SELECT instruction_id, task_family, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY task_family ORDER BY score DESC, sha256('42:' || instruction_id)) AS rank FROM hard) WHERE rank <= 50", **X.HARD_VIEWS)
 def win_hard_rank(spark, d):
     return S.hard_rank(_hard(spark, d), SEED, "task_family", 50).select("instruction_id", "task_family", "score", "rank")
 
@@ -641,7 +684,7 @@ def win_hard_rank(spark, d):
 _FLOORS = "SELECT *, row_number() OVER (PARTITION BY task_family, category ORDER BY score DESC, sha256('42:' || instruction_id)) <= 2 AS is_floor FROM hard"
 
 
-@query("SELECT instruction_id, task_family, category FROM flo WHERE is_floor", wd=_W_DEFECT, hard=_HARD, flo=_FLOORS)
+@query("SELECT instruction_id, task_family, category FROM flo WHERE is_floor", **X.HARD_VIEWS, flo=_FLOORS)
 def win_category_floor(spark, d):
     return S.category_floor(_hard(spark, d), 2, SEED).select("instruction_id", "task_family", "category")
 
@@ -650,7 +693,7 @@ _BIG = "SELECT unnest(%s) AS task_family, unnest([100, 90, 80, 80, 70, 90, 60, 6
 _BIGS = dict(zip(V.TASKS, [100, 90, 80, 80, 70, 90, 60, 60]))
 
 
-@query("SELECT instruction_id, task_family, is_floor FROM (SELECT f.*, b.quota, row_number() OVER (PARTITION BY task_family ORDER BY is_floor DESC, score DESC, sha256('42:' || instruction_id)) AS r FROM flo f JOIN b USING (task_family)) WHERE r <= quota", wd=_W_DEFECT, hard=_HARD, flo=_FLOORS, b=_BIG)
+@query("SELECT instruction_id, task_family, is_floor FROM (SELECT f.*, b.quota, row_number() OVER (PARTITION BY task_family ORDER BY is_floor DESC, score DESC, sha256('42:' || instruction_id)) AS r FROM flo f JOIN b USING (task_family)) WHERE r <= quota", **X.HARD_VIEWS, flo=_FLOORS, b=_BIG)
 def win_fill_to_quota(spark, d):
     quotas = spark.createDataFrame(list(_BIGS.items()), "task_family string, quota bigint")
     return S.floor_then_fill(_hard(spark, d), quotas, SEED, 2).select("instruction_id", "task_family", "is_floor")
@@ -663,7 +706,7 @@ def _condition_quotas(rows):
     return rows.select("task_family", "condition").distinct().withColumn("quota", F.when(F.col("condition") == "anomalous", 80).otherwise(60).cast("bigint"))
 
 
-@query("SELECT instruction_id, task_family, condition, is_floor FROM (SELECT f.*, c.quota, row_number() OVER (PARTITION BY task_family, condition ORDER BY is_floor DESC, score DESC, sha256('42:' || instruction_id)) AS r FROM flo f JOIN c USING (task_family, condition)) WHERE r <= quota", wd=_W_DEFECT, hard=_HARD, flo=_FLOORS, c=_COND)
+@query("SELECT instruction_id, task_family, condition, is_floor FROM (SELECT f.*, c.quota, row_number() OVER (PARTITION BY task_family, condition ORDER BY is_floor DESC, score DESC, sha256('42:' || instruction_id)) AS r FROM flo f JOIN c USING (task_family, condition)) WHERE r <= quota", **X.HARD_VIEWS, flo=_FLOORS, c=_COND)
 def win_condition_quota(spark, d):
     rows = _hard(spark, d)
     return S.floor_then_fill(rows, _condition_quotas(rows), SEED, 2, ["task_family", "condition"]).select("instruction_id", "task_family", "condition", "is_floor")
@@ -709,85 +752,7 @@ def prj_threshold_gate(spark, d):
     return C.threshold_gate(long, bounds)
 
 
-# 2.10 pipelines and 2.11 streams
-
-
-@query()
-def pipe_instructions(spark, d):
-    """Chat records of all images, with the split of their images."""
-    split = win_contiguous_assign(spark, d).select("image_id", "split")
-    rows = J.template_cross(images(spark, d), _templates(spark), 3, 20).join(split, "image_id")
-    kind = F.lit(None).cast("string")
-    for name, c in answers.answers().items():
-        kind = F.when(F.col("kind") == name, c).otherwise(kind)
-    part = lambda t, image, said: F.struct(F.lit(t).alias("type"), image.cast("string").alias("image"), said.cast("string").alias("text"))
-    none = F.lit(None)
-    user = F.struct(F.lit("user").alias("role"), F.array(part("image", F.col("image_path"), none), part("text", none, F.col("prompt"))).alias("content"))
-    said = F.struct(F.lit("assistant").alias("role"), F.array(part("text", none, kind)).alias("content"))
-    tags = F.concat(F.array(F.lit("image_level_label"), F.lit("product_category")), F.when(F.col("condition") == "anomalous", F.array(F.lit("defect_label"), F.lit("segmentation_mask"), F.lit("derived_spatial_features"))).otherwise(F.array().cast("array<string>")))
-    return rows.select(F.concat_ws("__", "image_id", "template_id").alias("instruction_id"), "image_id", "split", "task_family", "template_id", F.array(user, said).alias("messages"), "category", "condition", "defect_type", F.col("nine_grid_location").alias("location"), "visual_severity", "answer_format", tags.alias("grounded_by"))
-
-
-@query()
-def pipe_hard_examples(spark, d):
-    """Training records chosen by the mistakes on validation predictions."""
-    quotas = spark.createDataFrame(list(_BIGS.items()), "task_family string, quota bigint")
-    return S.floor_then_fill(_hard_whole(spark, d), quotas, SEED, 2)
-
-
-# the queries that take _W_DEFECT count failed generations only, and so does their SQL; these weigh records by all mistakes
-
-
-def _mistakes(spark, d):
-    """Weights per (kind, category, item): wrong defects and locations of the validation predictions."""
-    ids = records(spark, d).filter("split = 'validation'").select("instruction_id")
-    p = predictions(spark, d).join(ids, "instruction_id", "left_semi")
-    return cut_lineage(E.error_profile(E.evaluated(cut_lineage(E.parsed(p), "parsed"))), "weights")
-
-
-def _hard_whole(spark, d):
-    pool = records(spark, d).filter("split = 'train' AND task_family IS NOT NULL AND condition IS NOT NULL AND category IS NOT NULL")
-    return cut_lineage(E.hard_scores(pool, _mistakes(spark, d)).select("instruction_id", "task_family", "condition", "category", "score"), "hard")
-
-
-@query()
-def join_weight_lookup_whole(spark, d):
-    return E.hard_scores(records(spark, d), _mistakes(spark, d)).select("instruction_id", "score")
-
-
-@query()
-def win_hard_rank_whole(spark, d):
-    return S.hard_rank(_hard_whole(spark, d), SEED, "task_family", 50).select("instruction_id", "task_family", "score", "rank")
-
-
-@query()
-def win_category_floor_whole(spark, d):
-    return S.category_floor(_hard_whole(spark, d), 2, SEED).select("instruction_id", "task_family", "category")
-
-
-@query()
-def win_fill_to_quota_whole(spark, d):
-    return pipe_hard_examples(spark, d).select("instruction_id", "task_family", "is_floor")
-
-
-@query()
-def win_condition_quota_whole(spark, d):
-    rows = _hard_whole(spark, d)
-    return S.floor_then_fill(rows, _condition_quotas(rows), SEED, 2, ["task_family", "condition"]).select("instruction_id", "task_family", "condition", "is_floor")
-
-
-@query()
-def agg_score_histogram_whole(spark, d):
-    return _hard_whole(spark, d).groupBy("task_family", "score").agg(F.count("*").alias("n"))
-
-
-QUERIES["win_hard_select_whole"] = win_fill_to_quota_whole
-
-
-@query()
-def pipe_readiness(spark, d):
-    """Problems of records by kind and task."""
-    return prj_record_validate(spark, d).join(records(spark, d).select("instruction_id", "task_family"), "instruction_id").groupBy("task_family", "problem").agg(F.count("*").alias("n"))
+# 2.11 streams
 
 
 @query("SELECT event_id, sha256(props) AS result FROM events")

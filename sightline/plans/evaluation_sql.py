@@ -142,3 +142,23 @@ ANALYSIS = " UNION ALL ".join(
 FAILURE_VIEWS = VIEWS | {"fail": FAILURES, "confused": "SELECT kind, truth, said, count(*) AS n FROM fail GROUP BY ALL"}
 FAILURE_SQL = f"""SELECT kind, metric, value, CAST(NULL AS VARCHAR) AS truth, CAST(NULL AS VARCHAR) AS said, n, CAST(NULL AS BIGINT) AS rank FROM ({ANALYSIS})
   UNION ALL SELECT kind, 'confusion', NULL, truth, said, n, CASE WHEN truth <> said THEN row_number() OVER (PARTITION BY kind, truth <> said ORDER BY n DESC, truth, said) END FROM confused"""
+
+
+def views_of(source: str) -> dict[str, str]:
+    """``VIEWS`` over another table of predictions than all of them."""
+    return VIEWS | {"said": SAID.replace("FROM pred", f"FROM {source}"), "voc": WORDS.replace("FROM pred", f"FROM {source}")}
+
+
+_VALIDATION = "SELECT * FROM pred WHERE instruction_id IN (SELECT instruction_id FROM rec WHERE split = 'validation')"
+_ITEMS = f"""SELECT instruction_id, category, 'defect' AS kind, unnest({P.canonical(P.atoms("defect_type"))}) AS item FROM rec WHERE task_family IN {_in(V.DEFECT_WEIGHTED_TASKS)}
+  UNION ALL SELECT instruction_id, category, 'location', location FROM rec WHERE task_family IN {_in(V.LOCATION_WEIGHTED_TASKS)} AND location IS NOT NULL"""
+_WEIGHED = "SELECT r.instruction_id, CAST(coalesce(s.score, 0) AS BIGINT) AS score FROM rec r LEFT JOIN (SELECT instruction_id, sum(w) AS score FROM items JOIN wd USING (kind, category, item) GROUP BY 1) s USING (instruction_id)"
+_POOL = "SELECT instruction_id, r.task_family, r.condition, r.category, w.score FROM rec r JOIN weighed w USING (instruction_id) WHERE r.split = 'train' AND r.task_family IS NOT NULL AND r.condition IS NOT NULL AND r.category IS NOT NULL"
+#: Records weighed by the mistakes of the validation predictions (``weighed``), and those of them that may be selected (``hard``).
+HARD_VIEWS = {"vpred": _VALIDATION, **views_of("vpred"), "wd": PROFILE, "items": _ITEMS, "weighed": _WEIGHED, "hard": _POOL}
+
+
+def corpus_print(table: str, by: str) -> str:
+    """(by, n, fingerprint): the digest of identifiers as ``aggregates.corpus_fingerprint`` takes it, over buckets."""
+    return f"""SELECT {by}, CAST(sum(c) AS BIGINT) AS n, sha256(string_agg(f, chr(10) ORDER BY b)) AS fingerprint FROM (
+      SELECT {by}, ('0x' || substr(sha256(instruction_id), 1, 8))::BIGINT % 4096 AS b, count(*) AS c, sha256(string_agg(instruction_id, chr(10) ORDER BY instruction_id) || chr(10)) AS f FROM {table} GROUP BY ALL) GROUP BY ALL"""

@@ -13,9 +13,10 @@ from sightline.operators import metrics as M
 from sightline.operators import sampling as S
 from sightline.operators import validate as C
 from sightline.plans import catalog as K
+from sightline.plans import evaluation_sql as X
 from sightline.plans import parser_sql as P
 from sightline.plans.catalog import QUERIES, SEED, SQL, query
-from sightline.plans.views import images, predictions, records, table
+from sightline.plans.views import images, predictions, records, table, token_sql
 from sightline.storage import cut_lineage, scratch_path
 
 # 2.9 scalar functions, one by one
@@ -44,6 +45,11 @@ def fn_norm_decoded(spark, d):
 _HUMAN = "coalesce(replace(replace(nullif({0}, ''), '_', ' '), ',', ', '), 'unspecified visual anomaly')"
 
 
+@query(f"SELECT DISTINCT nine_grid_location, {_HUMAN.format('nine_grid_location')} AS place FROM img")
+def fn_location_text(spark, d):
+    return images(spark, d, "image_id", "nine_grid_location").select("nine_grid_location", answers.location_text().alias("place")).distinct()
+
+
 @query(f"SELECT image_id, CASE WHEN condition = 'anomalous' THEN 'defective' ELSE 'normal' END AS status, {_HUMAN.format('nine_grid_location')} AS place, {_HUMAN.format('defect_type')} AS defect FROM img")
 def fn_humanize(spark, d):
     return images(spark, d).select("image_id", answers.status().alias("status"), answers.location_text().alias("place"), text.humanize(F.nullif("defect_type", F.lit("")), answers.MISSING).alias("defect"))
@@ -65,6 +71,7 @@ _ANSWER_SQL = {
     "defect": _pick("'No defect is annotated for this image.'", f"'The annotated defect is ' || {_D} || '.'"),
     "location": _pick("'No anomaly location is available because the image is annotated as normal.'", f"'The anomaly centroid falls in the ' || {_L} || ' region.'"),
     "technician": _pick("'QC note: ' || category || ' sample appears normal under the supplied annotation. No anomaly region is marked.'", f"'QC note: Reject ' || category || ' sample for manual review. Annotated issue: ' || {_D} || '; location: ' || {_L} || '; visual severity: ' || visual_severity || '.'"),
+    "explanation": _pick("'This image is classified as normal because the source annotation provides no anomaly mask or defect label. This does not prove the absence of every possible real-world issue; it reflects the available annotation.'", f"'The inspection fails because the source annotation marks ' || {_D} || '. The mask covers ' || printf('%.3f', anomaly_area_ratio * 100) || '% of the image and its centroid lies in the ' || {_L} || ' region. The project-defined visual severity is ' || visual_severity || '.'"),
     "uncertainty": _pick("'No root cause can be determined from this image. The source only indicates that no visual anomaly was annotated.'", f"'The visible annotation supports describing ' || {_D} || ', but the mechanical root cause and safety impact cannot be established from this image alone.'"),
 }
 
@@ -78,7 +85,7 @@ def _answer(kind: str):
 
 
 for _kind in ("binary", "product", "defect", "location", "explanation", "technician", "uncertainty"):
-    query(f"SELECT image_id, {_ANSWER_SQL[_kind]} AS answer FROM img" if _kind in _ANSWER_SQL else None)(_answer(_kind))
+    query(f"SELECT image_id, {_ANSWER_SQL[_kind]} AS answer FROM img")(_answer(_kind))
 
 
 @query("""SELECT image_id, json_extract_string(j, '$.product') AS product, json_extract_string(j, '$.condition') AS condition, json_extract_string(j, '$.visual_severity') AS severity FROM (SELECT image_id, '{"product": "' || category || '", "condition": "' ||
@@ -115,7 +122,16 @@ def fn_nine_grid(spark, d):
     return K._features(spark, d).select("image_id", geometry.nine_grid("x_normalized", "y_normalized").alias("cell"))
 
 
-@query()
+_NONE = "bounding_box IS NULL AND centroid IS NULL AND nine_grid_location IS NULL"
+_ALL = "coalesce(bounding_box IS NOT NULL AND centroid IS NOT NULL AND nine_grid_location IS NOT NULL, false)"
+_DERIVED = {
+    "anomalous_without_area": "c = 'anomalous' AND NOT coalesce(anomaly_area_pixels > 0, false)", "anomalous_without_features": f"c = 'anomalous' AND NOT {_ALL}", "anomalous_without_severity": "c = 'anomalous' AND coalesce(v = 'none', true)",
+    "box_height": "bounding_box.height <> bounding_box.y_max - bounding_box.y_min + 1", "box_width": "bounding_box.width <> bounding_box.x_max - bounding_box.x_min + 1", "normal_with_area": "c = 'normal' AND (anomaly_area_pixels <> 0 OR anomaly_area_ratio <> 0)",
+    "normal_with_features": f"c = 'normal' AND NOT ({_NONE})", "normal_with_severity": "c = 'normal' AND v IS DISTINCT FROM 'none'",
+}
+
+
+@query(f"SELECT image_id, array_to_string(list_filter([{', '.join(f'CASE WHEN {rule} THEN {name!r} END' for name, rule in _DERIVED.items())}], lambda x: x IS NOT NULL), ',') AS problems FROM (SELECT *, {token_sql('condition')} AS c, {token_sql('visual_severity')} AS v FROM images)")
 def fn_derive_record(spark, d):
     """Derived columns of the image rows against their own rules."""
     rows = table(spark, d, "images")
@@ -133,10 +149,15 @@ def fn_label(spark, d):
     return records(spark, d).select("defect_type", E.set_label(text.split_compound("defect_type")).alias("label")).distinct()
 
 
-@query("SELECT image_id, CASE WHEN condition = 'normal' THEN 'normal' ELSE coalesce(defect_type, 'unspecified_anomaly') END AS k, concat_ws('|', category, condition) AS s2 FROM img")
+@query("SELECT image_id, CASE WHEN condition = 'normal' THEN 'normal' ELSE coalesce(defect_type, 'unspecified_anomaly') END AS k FROM img")
 def fn_defect_key(spark, d):
     key = F.when(F.col("condition") == "normal", "normal").otherwise(F.coalesce("defect_type", F.lit("unspecified_anomaly")))
-    return images(spark, d).select("image_id", key.alias("k"), F.concat_ws("|", "category", "condition").alias("s2"))
+    return images(spark, d).select("image_id", key.alias("k"))
+
+
+@query("SELECT image_id, concat_ws('|', category, condition) AS s2 FROM img")
+def fn_stratum_2(spark, d):
+    return images(spark, d, "image_id", "category", "condition").select("image_id", F.concat_ws("|", "category", "condition").alias("s2"))
 
 
 @query("SELECT DISTINCT " + " || '|' || ".join(f"coalesce({c}, 'none')" for c in S.STRATUM) + " AS s5 FROM rec")
@@ -203,7 +224,7 @@ def prj_defect_override(spark, d):
     return table(spark, d, "images").select("defect_type", "condition", C.defect_override("defect_type", "condition").alias("defect")).distinct()
 
 
-@query()
+@query("SELECT coalesce(error, 'valid') AS error, count(*) AS n FROM parsed_rows GROUP BY 1", **K._RECORD_VIEWS)
 def prj_error_split(spark, d):
     """Valid rows and dead letters of the annotation rows, counted by error."""
     valid, dead = C.split_errors(K.prj_row_to_record(spark, d))
@@ -238,34 +259,47 @@ def prj_release_status(spark, d):
 # 2.4
 
 
-@query("SELECT instruction_id, prediction_no AS ordinal, task_family FROM pred WHERE run_id = 'direct_base_v1'")
-def join_finalize_order(spark, d):
-    run = predictions(spark, d).filter("run_id = 'direct_base_v1'")
-    return J.finalize(run.select("instruction_id", F.col("prediction_no").alias("ordinal")), run.select("instruction_id", "task_family"), "instruction_id", "ordinal")
-
+_FINAL = {
+    "work": "SELECT u.run_id, r.instruction_id, r.delivery_id AS ordinal FROM rec r JOIN inference_runs u ON r.split = u.expected_dataset_split",
+    "both_sides": """SELECT run_id, instruction_id, ordinal, task_family, prediction_no, CASE WHEN d.found IS NULL THEN 'missing' WHEN w.asked IS NULL THEN 'extra' ELSE 'both' END AS side
+  FROM (SELECT *, true AS asked FROM work) w FULL JOIN (SELECT run_id, instruction_id, task_family, prediction_no, true AS found FROM pred WHERE prediction IS NOT NULL) d USING (run_id, instruction_id)""",
+}
 
-@query()
-def join_finalize_order_whole(spark, d):
-    """All runs against the records of the split that each is to answer, in the order of delivery; failed generations are missing.
 
-    join_finalize_order and its SQL take one run for both sides.
-    """
+@query("SELECT *, bool_and(side = 'both') OVER (PARTITION BY run_id) AS complete FROM both_sides", **_FINAL)
+def join_finalize_order(spark, d):
+    """All runs against the records of the split that each is to answer, in the order of delivery; failed generations are missing."""
     runs = table(spark, d, "inference_runs").select("run_id", F.col("expected_dataset_split").alias("split"))
-    work = records(spark, d).select("instruction_id", "split", F.col("delivery_id").alias("ordinal")).join(runs, "split")
-    done = predictions(spark, d).filter("prediction IS NOT NULL").select("run_id", "instruction_id", "task_family", "prediction_no")
+    work = records(spark, d, "instruction_id", "split", "delivery_id").withColumnRenamed("delivery_id", "ordinal").join(runs, "split").drop("split")
+    done = predictions(spark, d, "run_id", "instruction_id", "task_family", "prediction_no", "prediction").filter("prediction IS NOT NULL").drop("prediction")
     return J.finalize_runs(work, done, "run_id", "instruction_id", "ordinal")
 
 
-_WANTED = r"SELECT image_id, category, regexp_extract(image_path, '([^/]+)\.[^./]*$', 1) AS stem, regexp_replace(replace(image_path, '/Images/', '/Masks/'), '\.[^./]*$', '.png') AS wanted FROM img WHERE category IS NOT NULL"
-_MASKS = r"SELECT DISTINCT replace(mask_path, '\', '/') AS path FROM images WHERE mask_path IS NOT NULL"
+_STEM = r"([^/]+)\.[^./]*$"
+
+
+def _category_of(path: str) -> str:
+    return f"list_filter(list_transform(list_filter(string_split({path}, '/'), lambda x: x <> ''), lambda x: translate(lower(x), ' -', '__')), lambda x: list_contains({V.CATEGORIES!r}, x))[1]"
+
+
+_MASK_VIEWS = {
+    "wanted": rf"SELECT image_id, image_path, category, regexp_extract(image_path, '{_STEM}', 1) AS stem, regexp_replace(replace(image_path, '/Images/', '/Masks/'), '\.[^./]*$', '.png') AS wanted FROM img",
+    "masks": r"SELECT DISTINCT replace(mask_path, '\', '/') AS path FROM images WHERE mask_path IS NOT NULL",
+    "placed_masks": f"SELECT path, {_category_of('path')} AS category, regexp_extract(path, '{_STEM}', 1) AS stem FROM masks",
+}
+
 
+def _masks(spark, d):
+    """The distinct mask paths, with the category and stem that they tell."""
+    masks = table(spark, d, "images").filter("mask_path IS NOT NULL").select(F.replace("mask_path", F.lit("\\"), F.lit("/")).alias("path")).distinct()
+    return masks.withColumns({"category": C.find_category("path"), "stem": F.regexp_extract("path", _STEM, 1)})
 
-@query("SELECT w.image_id, m.path AS mask FROM w LEFT JOIN m ON m.path = w.wanted", w=_WANTED, m=_MASKS)
+
+@query("""SELECT w.image_id, coalesce(m.path, f.path) AS mask FROM wanted w LEFT JOIN masks m ON m.path = w.wanted
+  LEFT JOIN (SELECT category, stem, min(path) AS path FROM placed_masks GROUP BY 1, 2) f ON f.category = w.category AND f.stem = w.stem WHERE w.category IS NOT NULL""", **_MASK_VIEWS)
 def join_image_mask(spark, d):
-    stem = F.regexp_extract("image_path", r"([^/]+)\.[^./]*$", 1)
-    rows = images(spark, d).filter("category IS NOT NULL").select("image_id", "category", stem.alias("stem"), C.candidate_mask("image_path").alias("wanted"))
-    masks = table(spark, d, "images").filter("mask_path IS NOT NULL").select(F.replace("mask_path", F.lit("\\"), F.lit("/")).alias("path")).distinct().withColumns({"category": F.lit(None).cast("string"), "stem": F.lit(None).cast("string")})
-    return J.with_masks(rows, masks).select("image_id", "mask")
+    rows = images(spark, d, "image_id", "image_path", "category").filter("category IS NOT NULL").select("image_id", "category", F.regexp_extract("image_path", _STEM, 1).alias("stem"), C.candidate_mask("image_path").alias("wanted"))
+    return J.with_masks(rows, _masks(spark, d)).select("image_id", "mask")
 
 
 @query("SELECT r.run_id, p.run_id IS NOT NULL AS predicted, coalesce(p.most <= r.max_new_tokens, true) AS within FROM inference_runs r LEFT JOIN (SELECT run_id, max(generated_token_count) AS most FROM pred GROUP BY 1) p ON r.run_id = p.run_id")
@@ -294,23 +328,36 @@ def agg_file_sha256(spark, d):
     return digests(spark, f"{d}/region.parquet").select("sha256")
 
 
-@query("SELECT split, count(*) AS n, count(DISTINCT image_id) AS images, sha256(string_agg(instruction_id, chr(10) ORDER BY instruction_id) || chr(10)) AS fingerprint FROM rec WHERE split IN ('validation', 'test') GROUP BY 1")
-def agg_selection_audit(spark, d):
-    r = cut_lineage(records(spark, d).filter("split IN ('validation', 'test')").select("split", "instruction_id", "image_id"), "records")
-    return A.fingerprint(r, "instruction_id", ["split"]).join(r.groupBy("split").agg(F.count_distinct("image_id").alias("images")), "split")
-
+_ROW = "SELECT {0}, '{1}' AS kind, {2} AS task_family, {3} AS value, {4} AS n, {5} AS fingerprint FROM {6}"
+_BY, _NULL = "run_id, selection", "CAST(NULL AS VARCHAR)"
+_AUDIT = {
+    "asked": """SELECT run_id, 'validation' AS selection, subset_seed + 1 AS seed, CAST(NULL AS VARCHAR) AS asked_task, validation_limit AS k FROM train_runs
+      UNION ALL SELECT run_id, 'train', subset_seed, NULL, train_limit FROM train_runs WHERE train_task_quotas IS NULL
+      UNION ALL SELECT run_id, 'train', subset_seed, e.key, e.value FROM (SELECT *, unnest(map_entries(train_task_quotas)) AS e FROM train_runs WHERE train_task_quotas IS NOT NULL)""",
+    "short": """SELECT run_id, selection, asked_task, k, coalesce(s.n, 0) AS n FROM asked LEFT JOIN (SELECT task_family AS asked_task, count(*) AS n FROM rec WHERE split = 'train' AND task_family IS NOT NULL GROUP BY 1) s USING (asked_task)
+      WHERE asked_task IS NOT NULL AND coalesce(s.n, 0) < k""",
+    "able": "SELECT DISTINCT run_id, selection FROM asked WHERE run_id NOT IN (SELECT run_id FROM short)",
+    "taken": """SELECT * FROM (SELECT a.run_id, a.selection, a.k, r.instruction_id, r.image_id, r.task_family, r.category, r.condition,
+        row_number() OVER (PARTITION BY a.run_id, a.selection, a.asked_task ORDER BY substr(sha256(a.seed || ':' || r.instruction_id), 1, 13), r.instruction_id) AS place
+      FROM rec r JOIN asked a ON r.split = a.selection AND (a.asked_task IS NULL OR a.asked_task = r.task_family) WHERE a.run_id NOT IN (SELECT run_id FROM short)) WHERE k IS NULL OR place <= k""",
+    "taken_print": X.corpus_print("taken", "run_id, selection"),
+    "source_print": X.corpus_print("(SELECT split AS selection, instruction_id FROM rec WHERE split IN ('train', 'validation'))", "selection"),
+}
 
-@query()
-def agg_selection_audit_whole(spark, d):
-    """The train and validation selections of every training run: counts, images and fingerprints, over all records.
 
-    agg_selection_audit and its SQL see the whole validation and test splits only, and select nothing.
-    """
+@query(" UNION ALL ".join([
+    _ROW.format("a.run_id, a.selection", "records", _NULL, _NULL, "coalesce(p.n, 0)", "p.fingerprint", "able a LEFT JOIN taken_print p USING (run_id, selection)"),
+    _ROW.format("a.run_id, a.selection", "ids", _NULL, _NULL, "count(DISTINCT t.instruction_id)", _NULL, "able a LEFT JOIN taken t USING (run_id, selection) GROUP BY 1, 2"),
+    _ROW.format("a.run_id, a.selection", "images", _NULL, _NULL, "count(DISTINCT t.image_id)", _NULL, "able a LEFT JOIN taken t USING (run_id, selection) GROUP BY 1, 2"),
+    _ROW.format("a.run_id, a.selection", "source", _NULL, _NULL, "coalesce(s.n, 0)", "s.fingerprint", "able a LEFT JOIN source_print s USING (selection)"),
+    *(_ROW.format(_BY, c, _NULL, c, "count(*)", _NULL, "taken GROUP BY ALL") for c in ("task_family", "category", "condition")),
+    *(_ROW.format(_BY, f"task_{c}", "task_family", c, "count(*)", _NULL, "taken GROUP BY ALL") for c in ("category", "condition")),
+    _ROW.format(_BY, "short_quota", "asked_task", "CAST(k AS VARCHAR)", "n", _NULL, "short"),
+]), **_AUDIT)
+def agg_selection_audit(spark, d):
+    """The train and validation selections of every training run: counts, images and fingerprints, over all records."""
     cols = ["split", "instruction_id", "image_id", "task_family", "category", "condition"]
-    return A.selection_audit(cut_lineage(records(spark, d).select(*cols).filter("split IN ('train', 'validation')"), "records"), table(spark, d, "train_runs"))
-
-
-QUERIES["pipe_selection_audit_whole"] = agg_selection_audit_whole
+    return A.selection_audit(cut_lineage(records(spark, d, *cols).filter("split IN ('train', 'validation')"), "records"), table(spark, d, "train_runs"))
 
 
 @query(f"SELECT round(max(coalesce(rate, 0)), 9) AS worst FROM (SELECT task_family, avg(CAST({P.uncertainty('prediction')['unsupported_root_cause']} AS INT)) AS rate FROM pred WHERE prediction IS NOT NULL GROUP BY 1)")
@@ -320,12 +367,12 @@ def agg_max_over_tasks(spark, d):
     return rates.agg(F.round(F.coalesce(F.max(F.coalesce("rate", F.lit(0.0))), F.lit(0.0)), 9).alias("worst"))
 
 
-@query()
+@query(X.PROFILE, **X.VIEWS)
 def agg_error_profile(spark, d):
     return E.error_profile(K._evaluated(spark, d))
 
 
-@query("SELECT task_family, score, count(*) AS n FROM hard GROUP BY 1, 2", wd=K._W_DEFECT, hard=K._HARD)
+@query("SELECT task_family, score, count(*) AS n FROM hard GROUP BY 1, 2", **X.HARD_VIEWS)
 def agg_score_histogram(spark, d):
     return K._hard(spark, d).groupBy("task_family", "score").agg(F.count("*").alias("n"))
 
@@ -352,15 +399,15 @@ def met_structured_row(spark, d):
     return K._evaluated(spark, d).filter("task_family = 'structured_report'").select("prediction_no", "json_valid", "present", "unsupported")
 
 
-@query()
+@query(f"SELECT prediction_no, round(fact_coverage, 6) AS fact_coverage FROM ev WHERE task_family IN {K._strings(E.FACT_TASKS)}", **X.VIEWS)
 def met_fact_coverage(spark, d):
     return K._evaluated(spark, d).filter(F.col("task_family").isin(E.FACT_TASKS)).select("prediction_no", F.round("fact_coverage", 6).alias("fact_coverage"))
 
 
-@query()
+@query("SELECT task_family, " + ", ".join(f"max(value) FILTER (metric = '{m}') AS {m}" for m in E.PLAIN) + f" FROM tm WHERE task_family IS NULL OR task_family NOT IN {K._strings(E.LABEL_TASKS)} GROUP BY 1", **X.TASK_VIEWS)
 def met_per_task_csv(spark, d):
-    rows = E.task_metrics(K._evaluated(spark, d)).filter(~F.col("task_family").isin(E.LABEL_TASKS))
-    return rows.groupBy("task_family").pivot("metric").agg(F.round(F.first("value"), 6))
+    """A row per task with plain metrics only, as the report has no place for nested ones."""
+    return E.plain_metrics(K._evaluated(spark, d)).groupBy("task_family").pivot("metric", E.PLAIN).agg(F.round(F.first("value"), 6))
 
 
 @query("SELECT 'binary_accuracy' AS name, round(sum(n) FILTER (truth = predicted) / sum(n), 9) AS value FROM cells UNION ALL SELECT 'binary_unparsed_rate', round(coalesce(sum(n) FILTER (predicted = '__unparsed__'), 0) / sum(n), 9) FROM cells", **K._METRIC_VIEWS)
@@ -383,15 +430,10 @@ def win_checkpoint_retention(spark, d):
     return S.newest_or_best(predictions(spark, d).select(F.col("run_id").alias("location"), F.col("prediction_no").alias("step"), F.col("error").isNotNull().alias("is_best")), 3)
 
 
-@query("SELECT task_family, instruction_id FROM rec WHERE split = 'test' AND task_family IS NOT NULL ORDER BY task_family, instruction_id LIMIT 200")
+@query("SELECT task_family, instruction_id, row_number() OVER (ORDER BY task_family, instruction_id) AS rank FROM rec WHERE split = 'test' AND task_family IS NOT NULL")
 def srt_multi_key(spark, d):
-    return records(spark, d).filter("split = 'test' AND task_family IS NOT NULL").select("task_family", "instruction_id").orderBy("task_family", "instruction_id").limit(200)
-
-
-@query()
-def srt_multi_key_whole(spark, d):
-    """All test records in the order of task and identifier, with their rank; srt_multi_key and its SQL end after 200."""
-    rows = cut_lineage(records(spark, d).filter("split = 'test' AND task_family IS NOT NULL").select("task_family", "instruction_id"), "test")
+    """All test records in the order of task and identifier, with their rank."""
+    rows = cut_lineage(records(spark, d, "task_family", "instruction_id", "split").filter("split = 'test' AND task_family IS NOT NULL").select("task_family", "instruction_id"), "test")
     return S.ranked_in_order(rows, "task_family", "instruction_id").orderBy("rank")
 
 
@@ -433,15 +475,6 @@ def set_distinct(spark, d):
     return records(spark, d).select("category", "condition", "visual_severity").distinct()
 
 
-# 2.10 pipelines under their own names
-
-
-def _same_as(name: str, other: str) -> None:
-    QUERIES[name] = QUERIES[other]
-    if other in SQL:
-        SQL[name] = SQL[other]
-
-
 @query()
 def join_assignment(spark, d):
     return K.win_contiguous_assign(spark, d).select("image_id", "split")
@@ -450,124 +483,6 @@ def join_assignment(spark, d):
 SQL["join_assignment"] = SQL["win_contiguous_assign"].replace("SELECT image_id, coalesce('sha256:' || sha256, 'id:' || image_id) AS cluster, split FROM img", "SELECT image_id, split FROM img")
 
 
-@query()
-def pipe_evaluate(spark, d):
-    """Task metrics, the category rollup and tag counts of one evaluation, in long form."""
-    rows = K._evaluated(spark, d)
-    by_task = E.task_metrics(rows).select(F.col("task_family").alias("scope"), "metric", "value")
-    by_category = E.category_rollup(rows).select(F.col("category").alias("scope"), F.lit("failure_rate").alias("metric"), F.col("failure_rate").alias("value"))
-    tags = E.overall(rows).select(F.lit("all").alias("scope"), F.col("tag").alias("metric"), F.col("n").cast("double").alias("value"))
-    return by_task.unionByName(by_category).unionByName(tags).withColumn("value", F.round("value", 6))
-
-
-@query()
-def pipe_features(spark, d):
-    """Geometry, grid cell and severity of every mask."""
-    f = K._features(spark, d)
-    none = F.lit(None).cast("string")
-    return f.select("*", geometry.nine_grid("x_normalized", "y_normalized").alias("cell"), geometry.severity("ratio", none).alias("severity"), geometry.severity_basis(none).alias("basis"))
-
-
-for _name, _other in {
-    "pipe_audit": "agg_audit_summary", "pipe_split": "win_contiguous_assign", "pipe_benchmark": "win_unique_first_rr", "pipe_benchmark_validate": "agg_task_quota_check",
-    "pipe_failure_analysis": "met_failure_analysis", "pipe_selection_audit": "agg_selection_audit", "pipe_release": "prj_threshold_gate", "win_hard_select": "win_fill_to_quota", "fn_stratum_2": "fn_defect_key", "fn_location_text": "fn_humanize",
-}.items():
-    _same_as(_name, _other)
-
-
-# whole pipelines in long form (part, key, value, n); the names above stand for the one step that their SQL states
-
-
-def _part(df, part: str, key, value=None, n=None):
-    text = lambda c: F.lit(None).cast("string") if c is None else c.cast("string")
-    return df.select(F.lit(part).alias("part"), text(key).alias("key"), text(value).alias("value"), (F.lit(1) if n is None else n).cast("bigint").alias("n"))
-
-
-def _parts(*parts):
-    from functools import reduce
-
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
-def _counted(df, dims: list[str], prefix: str = "count"):
-    return _part(A.counts_1d(df, dims), prefix, F.col("dim"), F.col("value"), F.col("n"))
-
-
-@query()
-def pipe_parse(spark, d):
-    """Annotation rows as records, errors and the report; a later row with a taken id or path is an error, too."""
-    rows = cut_lineage(K.prj_row_to_record(spark, d), "rows")
-    valid, dead = C.split_errors(rows)
-    checked = cut_lineage(C.first_wins(valid, ["image_id", "image_path"], ["file", "row_number"]), "checked")
-    good, twice = checked.filter("duplicate_of IS NULL"), checked.filter("duplicate_of IS NOT NULL")
-    at = F.concat_ws("#", "file", "row_number")
-    problems = cut_lineage(_parts(_part(dead, "error", at, F.col("error")), _part(twice, "error", at, F.concat(F.lit("duplicate "), "duplicate_of"))), "problems")
-    totals = _parts(_part(good.agg(F.count("*").alias("n")), "report", F.lit("valid_records"), None, F.col("n")), _part(problems.agg(F.count("*").alias("n")), "report", F.lit("invalid_records"), None, F.col("n")), _part(good.agg(F.count("mask_path").alias("n")), "report", F.lit("records_with_masks"), None, F.col("n")))
-    record = F.to_json(F.struct(*(c for c in good.columns if c != "duplicate_of")))
-    return _parts(_part(good, "record", F.col("image_id"), record), problems, totals, _counted(good, ["category", "condition", "source_split"], "report"))
-
-
-@query()
-def pipe_split_whole(spark, d):
-    """Assignments, the counts of each split, warnings and leaks."""
-    i = cut_lineage(images(spark, d), "images")
-    rows = cut_lineage(i.join(S.assign_splits(i, "ingested_at", SEED).select("image_id", "split"), "image_id", "left"), "assigned")
-    leaks = [_part(A.cross_split_leaks(rows, k, "split"), f"leak:{k}", F.col("key"), F.col("splits")) for k in ("image_id", "image_path", "sha256")]
-    repeats = [_part(A.repeated(rows, k), f"duplicate:{k}", F.col("value"), None, F.col("n")) for k in ("image_id", "image_path")]
-    spans = _part(S.duplicate_clusters(i, "ingested_at").filter("strata > 1"), "warning:strata", F.col("cluster"), F.col("image_id"), F.col("strata"))
-    defect = F.when(F.col("condition") == "anomalous", F.coalesce("defect_type", F.lit("unspecified_anomaly")))
-    wide = rows.withColumns({"category_condition": F.concat_ws("/", "category", "condition"), "defect": defect})
-    dims = ["category", "condition", "category_condition", "defect", "visual_severity"]
-    stats = A.split_stats(wide, "split", dims, S.SPLITS).filter("dim <> 'defect' OR value IS NOT NULL OR n = 0")
-    stats = _part(stats, "count", F.concat_ws(":", "split", "dim"), F.col("value"), F.col("n"))
-    lost = _part(rows.filter("split IS NULL"), "unassigned", F.col("image_id"))
-    return _parts(_part(rows.filter("split IS NOT NULL"), "assignment", F.col("image_id"), F.col("split")), *leaks, *repeats, spans, stats, lost)
-
-
-def _benchmark(spark, d):
-    rows = cut_lineage(records(spark, d).filter("split = 'test' AND task_family IS NOT NULL AND image_id IS NOT NULL").select("instruction_id", "image_id", "task_family", *S.STRATUM), "test")
-    return rows, cut_lineage(S.unique_first_round_robin(rows, K._quotas(spark), SEED), "benchmark")
-
-
-def _digest(df):
-    return A.corpus_fingerprint(df.withColumn("__all", F.lit(1)), "instruction_id", ["__all"])
-
-
-@query()
-def pipe_benchmark_whole(spark, d):
-    """The sample, and its manifest: digests of it and its source, and its distribution."""
-    rows, taken = _benchmark(spark, d)
-    digests = [_part(_digest(df), "manifest", F.lit(f"{k}_sha256"), F.col("fingerprint"), F.col("n")) for k, df in (("source", rows), ("benchmark", taken))]
-    images_ = _part(taken.agg(F.count_distinct("image_id").alias("n")), "manifest", F.lit("unique_images"), None, F.col("n"))
-    filled = taken.fillna("none", ["location", "defect_type"])
-    return _parts(_part(taken, "sample", F.col("instruction_id"), F.col("task_family"), F.col("rank")), *digests, images_, _counted(filled, ["task_family", *S.STRATUM]), _part(K._quotas(spark), "target", F.col("task_family"), None, F.col("quota")))
-
-
-@query()
-def pipe_benchmark_validate_whole(spark, d):
-    """All problems of the benchmark's deliveries against what was frozen, its images and quotas, and what it holds."""
-    from sightline.functions.text import canonical_id, canonical_split, canonical_token
-
-    _, taken = _benchmark(spark, d)
-    lines = table(spark, d, "instructions").select(canonical_id("instruction_id").alias("instruction_id"), canonical_split("dataset_split").alias("split"), canonical_token("task_family").alias("task_family"), canonical_token("image_id").alias("image_id"), C.message_fields()["image"].alias("image"), canonical_token("metadata.category").alias("category"), canonical_token("metadata.condition").alias("condition"), canonical_token("metadata.visual_severity").alias("visual_severity"))
-    lines = cut_lineage(lines.join(taken.select("instruction_id"), "instruction_id", "left_semi"), "lines")
-    quotas = K._quotas(spark).withColumnRenamed("quota", "n")
-    problems = C.benchmark_problems(lines, quotas, images(spark, d), _digest(taken))
-    sets = lines.groupBy("task_family").agg(*(F.array_join(F.array_sort(F.collect_set(c)), ",").alias(c) for c in ("category", "condition")))
-    found = [_part(sets, f"{c}_by_task", F.col("task_family"), F.col(c)) for c in ("category", "condition")]
-    return _parts(_part(problems, "error", F.concat_ws(":", "error", "key"), F.col("detail")), _counted(lines, ["task_family", "category", "condition", "visual_severity"]), *found)
-
-
-@query()
-def pipe_release_whole(spark, d):
-    """The checks of thresholds and of each run's contract with their status, their counts, and the state: ready, pending or blocked."""
-    gates = K.prj_threshold_gate(spark, d).select(F.concat(F.lit("threshold:"), "name").alias("name"), F.when(F.col("passed"), "pass").otherwise("fail").alias("status"))
-    runs = join_manifest_check(spark, d).select(F.concat(F.lit("run:"), "run_id").alias("name"), F.when(~F.col("within"), "fail").when(~F.col("predicted"), "pending").otherwise("pass").alias("status"))
-    checks = cut_lineage(gates.unionByName(runs), "checks")
-    state = C.release_status(checks)
-    return _parts(_part(checks, "check", F.col("name"), F.col("status")), *(_part(state, "count", F.lit(k), None, F.col(k)) for k in ("pass", "pending", "fail")), _part(state, "state", F.col("state")))
-
-
 # 2.1 readers over logs that are written first, and 2.11 streams
 
 

@@ -4,11 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sightline.functions import vocabulary as V
-from sightline.operators import evaluation as E
-from sightline.operators import joins as J
-from sightline.operators import validate as C
-from sightline.plans import more
 from sightline.plans.catalog import query
 from sightline.plans.more import _EVENT, _log
 from sightline.plans.views import images, records, table
@@ -69,25 +64,6 @@ def src_csv_inventory(spark, d):
     return readers.csv_inventory(spark, _annotation_files(spark, d)).groupBy("header").agg(F.sum("data_rows").alias("data_rows"))
 
 
-@query()
-def pipe_audit_whole(spark, d):
-    """The manifest with the masks of anomalous images, paths that tell no category or condition, the inventory of annotation files and the summary."""
-    path, stem = F.col("image_path"), r"([^/]+)\.[^./]*$"
-    rows = images(spark, d).select("image_id", "image_path", C.find_category(path).alias("category"), C.infer_condition(path).alias("condition"), F.regexp_extract(path, stem, 1).alias("stem"), C.candidate_mask(path).alias("wanted"))
-    rows = cut_lineage(rows, "classified")
-    known = F.col("category").isNotNull() & F.col("condition").isNotNull()
-    masks = table(spark, d, "images").filter("mask_path IS NOT NULL").select(F.replace("mask_path", F.lit("\\"), F.lit("/")).alias("path")).distinct()
-    masks = masks.withColumns({"category": C.find_category("path"), "stem": F.regexp_extract("path", stem, 1)})
-    found = cut_lineage(J.with_masks(rows.filter(known), masks).withColumn("mask", F.when(F.col("condition") == "anomalous", F.col("mask"))), "masked")
-    lost = more._part(rows.filter(~known), "error", F.col("image_id"), F.concat(F.lit("could not classify "), F.coalesce("image_path", F.lit(""))))
-    inventory = readers.csv_inventory(spark, _annotation_files(spark, d)).groupBy("header").agg(F.sum("data_rows").alias("n"))
-    expected = spark.createDataFrame([(c,) for c in V.CATEGORIES], "category string")
-    missing = more._part(expected.join(found, "category", "left_anti"), "missing_category", F.col("category"))
-    bare = more._part(found.filter("condition = 'anomalous' AND mask IS NULL").agg(F.count("*").alias("n")), "summary", F.lit("anomalous_without_mask"), None, F.col("n"))
-    manifest = more._part(found, "image", F.col("image_id"), F.concat_ws("|", "category", "condition", "mask"))
-    return more._parts(manifest, lost, more._part(inventory, "csv", F.col("header"), None, F.col("n")), missing, bare, more._counted(found, ["category", "condition"]))
-
-
 @query()
 def src_dir_walk(spark, d):
     return readers.files(spark, d, [".parquet"]).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
@@ -135,11 +111,3 @@ def strm_error_budget(spark, d):
     budget = 10**9  # the whole table is to be processed; tests cover the stop
     run_once(spark, source, work.schema, log, state, "event_id", lambda df: df.select("event_id", F.when(F.col("value").isNull(), "no value").alias("error")), max_errors=budget)
     return spark.read.parquet(log)
-
-
-@query()
-def pipe_adapter_eval(spark, d):
-    """Predictions of a stand-in model, which repeats the answer of every test record, and their metrics."""
-    tests = records(spark, d).filter("split = 'test'").select("instruction_id", "task_family", "category", "condition", "defect_type", "location", "visual_severity", F.col("answer").alias("prediction"))
-    rows = cut_lineage(E.parsed(cut_lineage(tests, "tests")), "parsed")
-    return E.task_metrics(E.evaluated(rows)).withColumn("value", F.round("value", 6))

@@ -1,4 +1,4 @@
-"""Jobs that earlier versions did in part."""
+"""Jobs over whole tables, hot groups, and what plans read."""
 
 import hashlib
 import os
@@ -45,15 +45,70 @@ def test_wrong_answers_and_locations_weigh(spark, monkeypatch):
     ]
     all_rows = spark.createDataFrame(rows, columns)
     monkeypatch.setattr(K, "records", lambda *_: all_rows.drop("prediction"))
-    monkeypatch.setattr(K, "predictions", lambda *_: all_rows.filter("prediction IS NOT NULL").drop("split"))
-    score = {r.instruction_id: r.score for r in K.QUERIES["join_weight_lookup_whole"](spark, "").collect()}
+    monkeypatch.setattr(K, "predictions", lambda *_: all_rows.filter("prediction IS NOT NULL").drop("split").withColumns({"prediction_no": F.lit(1), "run_id": F.lit("r"), "image_id": F.lit("i")}))
+    score = {r.instruction_id: r.score for r in K.QUERIES["join_weight_lookup"](spark, "").collect()}
     assert [score[f"t{i}"] for i in (1, 2, 3, 4)] == [2, 1, 0, 0]
-    ranks = {r.instruction_id: r["rank"] for r in K.QUERIES["win_hard_rank_whole"](spark, "").collect()}
+    ranks = {r.instruction_id: r["rank"] for r in K.QUERIES["win_hard_rank"](spark, "").collect()}
     assert (ranks["t2"], ranks["t4"]) == (1, 2)
-    counts = {(r.task_family, r.score): r.n for r in K.QUERIES["agg_score_histogram_whole"](spark, "").collect()}
+    counts = {(r.task_family, r.score): r.n for r in K.QUERIES["agg_score_histogram"](spark, "").collect()}
     assert counts == {("structured_report", 2): 1, ("localization", 1): 1, ("localization", 0): 1, ("defect_identification", 0): 1}
 
 
+def test_scores_look_up_or_join(spark, monkeypatch):
+    records = spark.createDataFrame([("a", "structured_report", "k", "scratch,hole", "center"), ("b", "localization", "k", "scratch", "center"), ("c", "localization", None, "scratch", None), ("d", None, "k", None, None)], "instruction_id string, task_family string, category string, defect_type string, location string")
+    weights = spark.createDataFrame([("defect", "k", "scratch", 3), ("defect", "k", "hole", 1), ("location", "k", "center", 5), ("location", None, "center", 9)], "kind string, category string, item string, w bigint")
+    want = {"a": 9, "b": 5, "c": 0, "d": 0}
+    assert {r.instruction_id: r.score for r in E.hard_scores(records, weights).collect()} == want
+    monkeypatch.setattr(E, "MAX_WEIGHTS", 0)
+    assert {r.instruction_id: r.score for r in E.hard_scores(records, weights).collect()} == want
+
+
+def test_one_large_score_and_many_zeros(spark):
+    rows = [(f"i{i}", "t", 10**9 if i == 7 else 0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "instruction_id string, task_family string, score bigint").withColumns({"condition": F.lit("x"), "category": F.lit("c")})
+    got = {r.instruction_id: r["rank"] for r in S.hard_rank(df, 42, "task_family", 50).collect()}
+    want = sorted(rows, key=lambda r: (-r[2], hashlib.sha256(f"42:{r[0]}".encode()).hexdigest()))[:50]
+    assert got == {r[0]: n for n, r in enumerate(want, 1)}
+
+
+def test_percentiles_of_skewed_values(spark):
+    xs = [*range(5000), 10**15]
+    row = A.percentiles(spark.createDataFrame([(x,) for x in xs], "v bigint"), "v").first()
+    assert (row["median"], row.p90, row.max) == (2500.0, 4500, 10**15)
+
+
+def test_views_read_what_is_asked(spark):
+    from sightline.plans import views
+
+    read = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plan = read(QUERIES["agg_image_split_leak"](spark, DATA))
+    assert "messages" not in plan and "answer" not in plan
+    assert "messages" not in read(QUERIES["set_distinct"](spark, DATA)) and "prediction#" not in read(QUERIES["join_pred_inner"](spark, DATA))
+    assert "messages" not in read(views.records(spark, DATA, "instruction_id", "split"))
+    wide = {r.instruction_id: (r.split, r.answer) for r in views.records(spark, DATA).select("instruction_id", "split", "answer").collect()}
+    assert wide == {r.instruction_id: (r.split, r.answer) for r in views.records(spark, DATA, "instruction_id", "split", "answer").collect()}
+
+
+def test_percent_text_is_exact(spark):
+    from sightline.functions.answers import percent_text
+
+    rng = __import__("random").Random(3)
+    xs = [0.000625, 0.000015, 0.000025, 0.1, 0.0, 1.0, 0.3195656991, *(rng.random() for _ in range(300)), *(round(rng.random() * 100, 4) / 100 for _ in range(3000)), *((2 * rng.randrange(5_000_000) + 1) / 2_000_000 for _ in range(1000))]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", percent_text(F.col("x")).alias("t")).collect()
+    assert [(r.x, r.t) for r in got if r.t != f"{r.x * 100:.3f}"] == []
+
+
+def test_scratch_is_dropped(spark, tmp_path):
+    import pathlib
+
+    from sightline import storage
+
+    path = storage.scratch_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert pathlib.Path(path.removeprefix("file:")).exists() or pathlib.Path(path.removeprefix("file://")).exists()
+    assert storage.drop_scratch(spark) >= 1 and not pathlib.Path(path.removeprefix("file://")).exists()
+
+
 def test_order_has_no_end(spark):
     rows = [("ab"[i % 7 == 0], f"i{i * 7919 % 1000:04d}") for i in range(1000)]
     df = spark.createDataFrame(rows, "task_family string, instruction_id string").repartition(5)
@@ -103,10 +158,10 @@ def test_pipelines_hold_all_their_parts(spark):
     parse = parts("pipe_parse")
     assert parse["report", "valid_records"] == parse["record", None] and parse["report", "invalid_records"] == parse.get(("error", None), 0)
     assert parse["record", None] + parse.get(("error", None), 0) == K.QUERIES["prj_row_to_record"](spark, DATA).count()
-    split = parts("pipe_split_whole")
+    split = parts("pipe_split")
     assert split["assignment", None] == K.images(spark, DATA).count() and ("count", None) in split and not [p for p, _ in split if p.startswith("leak")]
-    audit = parts("pipe_audit_whole")
+    audit = parts("pipe_audit")
     assert audit["image", None] + audit.get(("error", None), 0) == K.images(spark, DATA).count() and ("csv", None) in audit and ("summary", "anomalous_without_mask") in audit
-    assert {p for p, _ in parts("pipe_benchmark_whole")} == {"sample", "manifest", "count", "target"}
-    release = parts("pipe_release_whole")
+    assert {p for p, _ in parts("pipe_benchmark")} == {"sample", "manifest", "count", "target"}
+    release = parts("pipe_release")
     assert release["check", None] == release["count", None] and len([p for p, _ in release if p == "state"]) == 1
