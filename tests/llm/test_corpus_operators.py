@@ -83,6 +83,23 @@ def test_assignment(spark):
     assert share["train"] == pytest.approx(0.7, abs=0.03) and share["test"] == pytest.approx(0.15, abs=0.03)
 
 
+def test_every_stratum_is_even(spark):
+    rng = random.Random(6)
+    kinds = [f"k{i}" for i in range(6)]
+    images, ins = [], []
+    for i in range(4000):
+        kind = rng.choices(kinds, [40, 25, 20, 10, 4, 1])[0]
+        # some sessions are shared, and some digests lie in two categories
+        images.append((f"i{i}", f"{rng.randrange(1, 900):064x}" if i % 9 == 0 else None, kind, f"s{rng.randrange(2500)}" if i % 3 else None, None))
+        ins += [(f"r{i}-{j}", f"i{i}", None, (kind, "normal" if i % 5 else "anomalous")) for j in range(rng.choice([1, 3, 20]))]
+    ins += [(f"big{j}", "i0", "train", (images[0][2], "anomalous")) for j in range(9000)]
+    r = related(spark, images, ins)
+    for block in (20_000, 300):
+        report = split_report(r.assign(block=block)).filter("stratum IS NOT NULL").collect()
+        assert len(report) == 3 * 12 and all(x.deviation <= max(x.largest_group, 25) for x in report)
+        assert all(x.share == pytest.approx(0.7 if x.split == "train" else 0.15, abs=0.02) for x in report if x.records > 2000 and x.largest_group < 1000)
+
+
 def test_best_fit():
     sizes = np.array([6, 5, 5, 4, 3, 3, 2, 2])
     bins, n = best_fit(sizes, 10)
