@@ -159,6 +159,8 @@ def test_message_parts(spark):
 def test_disguise():
     assert words(cleaned("You i.d.i.o.t, sh1t and f**k!!!")) == ("you", "idiot", "shit", "and", "<masked>")
     assert words(cleaned("i d i o t")) == ("idiot",)
+    assert words(cleaned("1d10t wh0r3 $lut @sshole a$$ 3asy b@$t@rd c0ck")) == ("idiot", "whore", "slut", "asshole", "ass", "easy", "bastard", "cock")
+    assert words(cleaned("pcb1, macaroni2 and pcb4 at 12:30, 5mm, 1st, 80% of A-12")) == ("and", "at", "of")
     assert words(cleaned("tray F-1017g has pcb1 and 0.5 mm")) == ("tray", "has", "and", "mm")
     assert words(cleaned("<b>Gr&#252;&szlig;e</b> dÃ©faut sаlоре")) == ("grusse", "defaut", "salope")
     assert list(segments("One two. Three!\nfour")) == [("one", "two"), ("three",), ("four",)]
@@ -196,6 +198,48 @@ def test_toxicity(spark):
     assert {r.source: r.toxic for r in rates(model.scores(df)).collect()}["notes"] >= len(truth)
 
 
+def test_models_equal_the_formula():
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    from sightline.llm import toxicity as t
+
+    toxic = {("you", "fool"): 3, ("you", "rat"): 1, ("a", "fool"): 1}
+    ordinary = {("a", "tray"): 4, ("you", "see", "a", "tray"): 2, ("clean",): 1}
+    all_ = [*toxic, *ordinary]
+    table = t.Table(all_)
+    models = table.trained(np.array([toxic.get(s, 0) for s in all_]), np.array([ordinary.get(s, 0) for s in all_]))
+    pairs = {(a, b) for s in all_ for a, b in zip(("<s>", *s), (*s, "</s>"))}
+    total = len(pairs) + 1.0
+    before = Counter(b for _, b in pairs)
+    rest = (t.DISCOUNT * len(before) + 1) / total / (len(before) + 1 + 10_000)
+
+    def logs(counted, segment):
+        tri = Counter()
+        for s, n in counted.items():
+            p = ("<s>", "<s>", *s, "</s>")
+            for i in range(len(p) - 2):
+                tri[p[i : i + 3]] += n
+        bi = Counter(x[1:] for x in tri)
+        uni = Counter(x[1] for x in bi)
+        out, p = 0.0, ("<s>", "<s>", *segment, "</s>")
+        for u, v, x in zip(p, p[1:], p[2:]):
+            low = (before[x] - t.DISCOUNT) / total if x in before else rest
+            q = (1 - t.SHARED) * uni[x] / sum(uni.values()) + t.SHARED * low
+            for counts, context in ((bi, (v,)), (tri, (u, v))):
+                own = {k: n for k, n in counts.items() if k[:-1] == context}
+                if own:
+                    q = (max(own.get((*context, x), 0) - t.DISCOUNT, 0) + t.DISCOUNT * len(own) * q) / sum(own.values())
+            out += math.log(q)
+        return out
+
+    asked = [*all_, ("you", "unknown"), ("fool",), ("tray", "fool", "fool")]
+    want = [(logs(toxic, s) - logs(ordinary, s)) / (len(s) + 1) for s in asked]
+    assert models.score(asked) == pytest.approx(want) and table.scores(models) == pytest.approx(want[: len(all_)])
+
+
 def test_toxicity_without_classes(spark):
     df = spark.createDataFrame(corpus(random.Random(1), 20)[0], DOCS)
     none = ToxicityModel(df, spark.createDataFrame([], LABELS))
