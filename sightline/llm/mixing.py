@@ -43,8 +43,10 @@ class SourceMix:
         self.plan = self.spark.createDataFrame(self._scheduled(planned, strength), "plan_id string, source string, share double, repeats int, size bigint, bend double")
         ordered = running_sum(usable.join(F.broadcast(self.plan.select("source").distinct()), "source", "left_semi"), ["source"], "u", ["doc_id"], "tokens", "before")
         each = ordered.join(F.broadcast(self.plan), "source")  # the plan has at most MAX_PLAN_ROWS rows
-        each = each.filter("repeats > 0").withColumn("repetition", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)))
         total = F.lit(float(max(self.total, 1)))
+        # later repetitions lie beyond the source's share of the demand, so they aren't even spread
+        useful = F.least(F.col("repeats"), F.ceil(F.col("share") * total / F.col("size")) + 1).cast("int")
+        each = each.filter("repeats > 0").withColumn("repetition", F.explode(F.sequence(F.lit(0), useful - 1)))
         reached = (F.col("repetition") * F.col("size") + F.col("before") + F.col("tokens") / 2) / total
         slope = F.col("share") + F.col("bend")
         position = 2 * F.col("y") / (slope + F.sqrt(F.greatest(slope * slope - 4 * F.col("bend") * F.col("y"), F.lit(0.0))))

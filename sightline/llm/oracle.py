@@ -28,16 +28,15 @@ GROUP BY t.target_id, t.need HAVING t.need > count(DISTINCT r.id)
 P2_SAMPLES = f"""
 WITH snaps AS (SELECT snapshot_no, until_at, row_number() OVER (ORDER BY until_at, snapshot_no) - 1 AS cohort FROM pool_snapshots),
 seen AS (SELECT id, min(delivered_at) AS first_at FROM ({_TRAIN}) WHERE id IS NOT NULL AND delivered_at IS NOT NULL GROUP BY id),
-store AS (SELECT id, substr(sha256(id), 1, 16) AS permanent, min(cohort) AS cohort
+store AS (SELECT id, ('0x' || substr(sha256(id), 1, 13))::BIGINT AS number, min(cohort) AS cohort
           FROM seen JOIN snaps ON first_at <= until_at GROUP BY id),
+runs AS (SELECT run_id, train_limit, ('0x' || substr(sha256(CAST(coalesce(subset_seed, 0) AS VARCHAR) || ':start'), 1, 13))::BIGINT AS start_at FROM train_runs),
 ranked AS (
-  SELECT u.run_id, u.train_limit, s.id, s.cohort,
-         row_number() OVER (PARTITION BY u.run_id ORDER BY s.cohort,
-           ('0x' || substr(sha256(CAST(coalesce(u.subset_seed, 0) AS VARCHAR) || ':' || s.permanent), 1, 13))::BIGINT, s.id) AS r
-  FROM store s CROSS JOIN train_runs u)
+  SELECT u.run_id, u.train_limit, s.id, s.cohort, row_number() OVER (PARTITION BY u.run_id ORDER BY s.cohort, (s.number - u.start_at + 4503599627370496) % 4503599627370496, s.id) AS r
+  FROM store s CROSS JOIN runs u)
 SELECT r.run_id, p.snapshot_no, r.id AS instruction_id
 FROM ranked r JOIN snaps p ON p.cohort >= r.cohort
 WHERE r.train_limit IS NULL OR r.r <= r.train_limit
 """
 
-SQL: dict[str, str] = {"p1_found": P1_FOUND, "p2_samples": P2_SAMPLES}
+SQL: dict[str, str] = {"p1_found": P1_FOUND, "p2_samples": P2_SAMPLES, "p2_kept_store": P2_SAMPLES}

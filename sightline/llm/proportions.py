@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from sightline.functions.hashing import uniform
 from sightline.functions.text import canonical_id, canonical_split, canonical_token
 from sightline.operators.ranking import bottom_k
-from sightline.storage import bounded_rows, cut_lineage
+from sightline.storage import BoundExceeded, bounded_rows, cut_lineage
 
 ATTRIBUTES = ["task_family", "condition", "category"]
 #: Any value that no target names.
@@ -37,6 +37,8 @@ OTHER = ""
 #: The mark of "any" in keys.
 ANY = "*"
 MAX_TARGETS = 20_000
+#: Strata times targets that are fitted on the driver.
+MAX_FITTED = 20_000_000
 #: Rows of a strata table that may be broadcast, a few MB; parts of a stratum where it is shuffled instead.
 MAX_BROADCAST = 50_000
 SALTS = 32
@@ -166,6 +168,26 @@ def repair(taken: np.ndarray, supply: np.ndarray, targets: list[tuple[np.ndarray
     return out
 
 
+def sure_share(n: int, supply: int) -> float:
+    """The share of uniform numbers below which ``n`` of ``supply`` lie nearly surely."""
+    return min(1.0, (n + 8 * math.sqrt(n) + 60) / max(supply, 1))
+
+
+def key_bound(strata: list[tuple[int, float]], limit: int) -> float:
+    """An exponential key below which nearly surely ``limit`` records lie. ``strata``: supply and weight."""
+    supply, weight = np.array([n for n, _ in strata], dtype=float), np.array([w for _, w in strata])
+    wanted = limit + 8 * math.sqrt(limit) + 60
+    if wanted >= supply.sum():
+        return math.inf
+    low, high = 0.0, 1.0
+    while (supply * -np.expm1(-weight * high)).sum() < wanted and high < 1e15:
+        high *= 2
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if (supply * -np.expm1(-weight * middle)).sum() < wanted else (low, middle)
+    return high
+
+
 def _members(strata: list[tuple], target: dict) -> np.ndarray:
     return np.array([j for j, s in enumerate(strata) if all(target[a] in (ANY, s[i]) for i, a in enumerate(ATTRIBUTES))], dtype=int)
 
@@ -184,7 +206,11 @@ class ProportionalSample:
         self.targets = {r["target_id"]: r.asDict() for r in bounded_rows(rows.orderBy("target_id"), MAX_TARGETS, "targets") if r["run_id"] in by_run}
         named = {a: sorted({t[a] for t in self.targets.values()} - {ANY}) for a in ATTRIBUTES}
         self.records = cut_lineage(train_records(instructions, named), "p1-records")
-        strata = bounded_rows(self.records.groupBy(*ATTRIBUTES).agg(F.count("*").alias("n")).orderBy(*ATTRIBUTES), 500_000, "strata")
+        # as many strata as combinations of named values and one more each
+        combinations = math.prod(len(v) + 1 for v in named.values())
+        if combinations * max(len(self.targets), 1) > MAX_FITTED:
+            raise BoundExceeded(f"{len(self.targets)} targets over {combinations} strata are more than the driver fits")
+        strata = bounded_rows(self.records.groupBy(*ATTRIBUTES).agg(F.count("*").alias("n")).orderBy(*ATTRIBUTES), combinations, "strata")
         self.strata = [tuple(r[a] for a in ATTRIBUTES) for r in strata]
         self.supply = np.array([r["n"] for r in strata], dtype=np.int64)
         total = int(self.supply.sum())
@@ -195,15 +221,13 @@ class ProportionalSample:
             self.runs.setdefault(t["run_id"], {"limit": limit, "asked": run["train_limit"], "seed": run["subset_seed"] or 0, "targets": []})["targets"].append((_members(self.strata, t), t))
         self.sample = self._repaired(self._drawn())
 
-    def _drawn(self) -> DataFrame:
-        """The weighted draw: (run, stratum, instruction_id, u)."""
+    def _rates(self) -> list[tuple]:
+        """Per run and stratum that may be drawn from: (run, stratum number, its values, weight, limit, seed)."""
         rates = []
         for name, run in self.runs.items():
             margins: dict[tuple, list] = defaultdict(list)
-            needed = np.zeros(len(self.strata), dtype=bool)
             for members, t in run["targets"]:
                 margins[tuple(t[a] == ANY for a in ATTRIBUTES)].append((members, t["target_share"] * run["limit"]))
-                needed[members] |= t["min_count"] > 0
             full = []
             for margin in margins.values():
                 seen = np.unique(np.concatenate([m for m, _ in margin])) if margin else np.array([], dtype=int)
@@ -212,15 +236,34 @@ class ProportionalSample:
             x = rake(self.supply, full, run["limit"])
             for j, stratum in enumerate(self.strata):
                 share = min(x[j] / self.supply[j], 1.0) if self.supply[j] else 0.0
-                if share <= 0 and not needed[j]:
-                    continue  # neither the draw nor the repair can take from it
-                weight = -math.log1p(-min(share, 1 - 1e-12)) if share > 0 else 1e-12
-                rates.append((name, j, *stratum, float(weight), int(run["limit"]), int(run["seed"])))
-        schema = "run_id string, stratum int, task_family string, condition string, category string, weight double, k bigint, seed bigint"
-        rated = self._with_small(self.records.select("instruction_id", *ATTRIBUTES), rates, schema, ATTRIBUTES).select("run_id", "stratum", "instruction_id", "weight", "k", uniform("seed", "instruction_id").alias("u"))
-        at = -F.log1p(-F.col("u")) / F.col("weight")
-        self.rated = cut_lineage(rated.withColumn("key", at / (at + 1)).drop("weight"), "p1-rated")
-        return bottom_k(self.rated, ["run_id"], "key", ["u", "instruction_id"], "k")
+                if share > 0:
+                    rates.append((name, j, *stratum, float(-math.log1p(-min(share, 1 - 1e-12))), int(run["limit"]), int(run["seed"])))
+        return rates
+
+    def _drawn(self) -> dict[str, np.ndarray]:
+        """The weighted draw: how many of each stratum are among a run's smallest keys.
+
+        Only keys below a bound that nearly surely holds enough of them go on; where a run comes out short, all do.
+        """
+        rates = self._rates()
+        by_run: dict[str, list[tuple]] = defaultdict(list)
+        for r in rates:
+            by_run[r[0]].append(r)
+        bounds = {name: key_bound([(self.supply[r[1]], r[5]) for r in own], self.runs[name]["limit"]) for name, own in by_run.items()}
+        for bounded in (True, False):
+            rows = [(*r, bounds[r[0]] if bounded else math.inf) for r in rates]
+            schema = "run_id string, stratum int, task_family string, condition string, category string, weight double, k bigint, seed bigint, most double"
+            rated = self._with_small(self.records.select("instruction_id", *ATTRIBUTES), rows, schema, ATTRIBUTES).withColumn("u", uniform("seed", "instruction_id"))
+            rated = rated.withColumn("at", -F.log1p(-F.col("u")) / F.col("weight")).filter("at <= most")
+            rated = cut_lineage(rated.select("run_id", "stratum", "instruction_id", "u", "k", (F.col("at") / (F.col("at") + 1)).alias("key")), "p1-rated")
+            drawn = bottom_k(rated, ["run_id"], "key", ["u", "instruction_id"], "k")
+            counts = defaultdict(lambda: np.zeros(len(self.strata), dtype=np.int64))
+            for r in bounded_rows(drawn.groupBy("run_id", "stratum").agg(F.count("*").alias("n")), MAX_FITTED, "strata of runs"):
+                counts[r["run_id"]][r["stratum"]] = r["n"]
+            able = {name: min(self.runs[name]["limit"], sum(int(self.supply[r[1]]) for r in own)) for name, own in by_run.items()}
+            if all(int(counts[name].sum()) >= n for name, n in able.items()):
+                break
+        return counts
 
     def _with_small(self, left: DataFrame, rows: list[tuple], schema: str, on: list[str]) -> DataFrame:
         """Inner join with strata rows: broadcast up to MAX_BROADCAST of them, beyond that shuffled with hot strata salted."""
@@ -230,18 +273,25 @@ class ProportionalSample:
         salted = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         return left.withColumn("__salt", F.pmod(F.xxhash64("instruction_id"), F.lit(SALTS)).cast("int")).join(salted, [*on, "__salt"]).drop("__salt")
 
-    def _repaired(self, drawn: DataFrame) -> DataFrame:
-        counts = defaultdict(lambda: np.zeros(len(self.strata), dtype=np.int64))
-        for r in bounded_rows(drawn.groupBy("run_id", "stratum").agg(F.count("*").alias("n")), 5_000_000, "strata of runs"):
-            counts[r["run_id"]][r["stratum"]] = r["n"]
+    def _repaired(self, counts: dict[str, np.ndarray]) -> DataFrame:
+        """Of each stratum of a run the records with the smallest keys, as many as the repaired counts say.
+
+        Within a stratum the order of keys is that of ``u``; again only what nearly surely suffices goes on, else all.
+        """
         final = []
         for name, run in self.runs.items():
             goals = [(m, t["target_share"] * run["limit"], t["min_count"]) for m, t in run["targets"]]
             taken = repair(counts[name], self.supply, goals, run["limit"])
-            final += [(name, j, int(n)) for j, n in enumerate(taken) if n > 0]
-        wanted = self._with_small(self.rated.drop("k"), final, "run_id string, stratum int, take bigint", ["run_id", "stratum"])
-        picked = bottom_k(wanted, ["run_id", "stratum"], "u", ["instruction_id"], "take", buckets=256).select("run_id", "instruction_id")
-        return cut_lineage(picked.join(self.records.select("instruction_id", "cells"), "instruction_id"), "p1-sample")
+            final += [(name, j, *self.strata[j], int(n), int(run["seed"]), sure_share(int(n), int(self.supply[j]))) for j, n in enumerate(taken) if n > 0]
+        schema = "run_id string, stratum int, task_family string, condition string, category string, take bigint, seed bigint, most double"
+        for bounded in (True, False):
+            rows = final if bounded else [(*r[:-1], 1.0) for r in final]
+            wanted = self._with_small(self.records, rows, schema, ATTRIBUTES).withColumn("u", uniform("seed", "instruction_id")).filter("u <= most")
+            wanted = cut_lineage(wanted.select("run_id", "stratum", "instruction_id", "cells", "u", "take"), "p1-wanted")
+            sample = cut_lineage(bottom_k(wanted, ["run_id", "stratum"], "u", ["instruction_id"], "take", buckets=256).select("run_id", "instruction_id", "cells"), "p1-sample")
+            if not bounded or sample.count() == sum(r[5] for r in final):
+                break
+        return sample
 
     def report(self) -> DataFrame:
         """One row per target: need, supply and sampled count, the residual gap, and whether supply is too small for the need."""

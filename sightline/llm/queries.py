@@ -14,6 +14,7 @@ from sightline.llm.proportions import ProportionalSample
 from sightline.llm.tokens import with_tokens
 from sightline.llm.toxicity import ToxicityModel
 from sightline.llm.truncation import TruncationModel, message_texts
+from sightline.storage import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +45,14 @@ def p2_samples(spark: SparkSession, d: str) -> DataFrame:
     return stable_samples(_table(spark, d, "instructions"), _table(spark, d, "train_runs"), _table(spark, d, "pool_snapshots"))
 
 
+def p2_kept_store(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a store that an earlier call, which knew the first two snapshots only, has filled."""
+    instructions, runs, snapshots = (_table(spark, d, n) for n in ("instructions", "train_runs", "pool_snapshots"))
+    path = scratch_path(spark, "p2-kept")
+    stable_samples(instructions, runs, snapshots.orderBy("until_at", "snapshot_no").limit(2), path)
+    return stable_samples(instructions, runs, snapshots, path)
+
+
 def _truncation(spark: SparkSession, d: str) -> TruncationModel:
     return TruncationModel(message_texts(_table(spark, d, "instructions"), _table(spark, d, "predictions")))
 
@@ -138,6 +147,6 @@ def p7_rates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_sample, p1_report, p2_samples, p3_found, p3_rates, p4_found, p4_splits, p4_report, p5_found, p5_containers, p5_fill, p6_found, p6_sequence, p6_report, p7_found, p7_scores, p7_rates,
+        p1_found, p1_sample, p1_report, p2_samples, p2_kept_store, p3_found, p3_rates, p4_found, p4_splits, p4_report, p5_found, p5_containers, p5_fill, p6_found, p6_sequence, p6_report, p7_found, p7_scores, p7_rates,
     )
 }

@@ -63,6 +63,28 @@ def test_proportions_beyond_broadcast(spark, monkeypatch):
     assert sampled(spark, deliveries(spark), targets)[0] == want
 
 
+def test_bounds_change_nothing(spark, monkeypatch):
+    from sightline.llm import proportions
+
+    targets = [(1, "r", "A", None, None, 0.25, 0), (2, "r", "b c", None, None, 0.75, 0), (3, "r", None, None, "small", 0.0, 20)]
+    rows = deliveries(spark, 3000)
+    want, _ = sampled(spark, rows, targets)
+    monkeypatch.setattr(proportions, "key_bound", lambda *_: float("inf"))
+    monkeypatch.setattr(proportions, "sure_share", lambda *_: 1.0)
+    assert sampled(spark, rows, targets)[0] == want
+    monkeypatch.setattr(proportions, "key_bound", lambda *_: 1e-9)  # too low, so all is looked at again
+    monkeypatch.setattr(proportions, "sure_share", lambda *_: 1e-9)
+    assert sampled(spark, rows, targets)[0] == want
+
+
+def test_sample_meets_every_minimum_that_supply_allows(spark):
+    targets = [(1, "r", "a", None, None, 0.5, 0), (2, "r", "b c", None, None, 0.5, 0), (3, "r", None, "anomalous", "small", 0.0, 15), (4, "r", "a", "normal", "small", 0.0, 12), (5, "r", None, None, "absent", 0.0, 5)]
+    ids, report = sampled(spark, deliveries(spark, 1200), targets, limit=100)
+    assert len(ids) == 100
+    for t in report.values():
+        assert t.sampled >= min(t.min_count, t.supply)
+
+
 def test_proportions_edges(spark):
     targets = [(1, "r", None, None, None, None, None), (2, "nobody", "a", None, None, 0.5, 1), (1, "r", None, None, None, None, None)]
     ids, report = sampled(spark, deliveries(spark), targets, limit=None)
@@ -110,6 +132,21 @@ def test_late_records_displace_nothing(spark):
     assert first["small", 3] == second["small", 3] and at(rows) == second
 
 
+def test_thresholds_never_fall(spark):
+    path, rows = scratch_path(spark, "thresholds"), deliveries(spark)
+    runs = spark.createDataFrame([("small", 30, 42), ("large", 150, 42), ("all", None, 42)], RUNS)
+    stable_samples(rows.filter("delivery_id % 3 > 0"), runs, snapshots(spark), path).count()
+    noted = [PermanentStore(spark, path).thresholds().collect()]
+    stable_samples(rows, runs, snapshots(spark), path).count()
+    noted.append(PermanentStore(spark, path).thresholds().collect())
+    of = lambda table, run: sorted((r.snapshot_no, r.cohort, r.value) for r in table if r.run_id == run)
+    for run in ("small", "large", "all"):
+        first = of(noted[0], run)
+        assert len(first) == 3 and all(a[1:] <= b[1:] for a, b in zip(first, first[1:]))
+        both = of(noted[1], run)
+        assert len(both) == 6 and all(max(b[1:] for b in both if b[0] == s) >= (c, v) for s, c, v in first)
+
+
 def test_store_never_changes(spark):
     store = PermanentStore(spark, scratch_path(spark, "test"))
     ids = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "instruction_id string")
