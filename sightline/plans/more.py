@@ -323,9 +323,10 @@ def agg_quality_statistics(spark, d):
 
 @query()
 def agg_file_sha256(spark, d):
+    """Digests of all files of the tables."""
     from sightline.sources.readers import digests
 
-    return digests(spark, f"{d}/region.parquet").select("sha256")
+    return digests(spark, d).select(F.element_at(F.split("path", "/"), -1).alias("name"), "sha256")
 
 
 _ROW = "SELECT {0}, '{1}' AS kind, {2} AS task_family, {3} AS value, {4} AS n, {5} AS fingerprint FROM {6}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from sightline.plans.catalog import query
@@ -69,10 +70,16 @@ def src_dir_walk(spark, d):
     return readers.files(spark, d, [".parquet"]).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
 
 
-@query()
+@query("""SELECT image_id, CASE WHEN known THEN width END AS width, CASE WHEN known THEN height END AS height, CASE WHEN known THEN kind END AS format, CASE WHEN NOT known THEN 'unreadable image' END AS error
+  FROM (SELECT *, width IS NOT NULL AND height IS NOT NULL AS known, CASE WHEN lower(image_path) LIKE '%.png' THEN 'PNG' ELSE 'JPEG' END AS kind FROM img)""")
 def src_image_size(spark, d):
-    """Tables aren't images: each file is reported as unreadable."""
-    return readers.image_sizes(spark, f"{d}/region.parquet").select("width", "height", "error")
+    """The headers of PNG and JPEG files with the sizes of all images, made here as the tables hold no files, and read by the parser."""
+    hexed = lambda c, digits: F.lpad(F.hex(c), digits, "0")
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), hexed("width", 8), hexed("height", 8), F.lit("0806000000"))
+    jpeg = F.concat(F.lit("FFD8FFE000046162FFC0000B08"), hexed("height", 4), hexed("width", 4), F.lit("01000000"))
+    rows = images(spark, d, "image_id", "image_path", "width", "height")
+    made = rows.select(F.col("image_id").alias("path"), F.unhex(F.when(F.lower("image_path").endswith(".png"), png).otherwise(jpeg)).alias("content"))
+    return readers.image_sizes_of(made).withColumnRenamed("path", "image_id")
 
 
 @query("SELECT instruction_id, location FROM rec")
@@ -103,11 +110,17 @@ def snk_csv_union_columns(spark, d):
     return sinks.union_columns([images(spark, d).select("image_id", "category"), records(spark, d).select("image_id", "task_family")])
 
 
-@query("SELECT event_id, CASE WHEN value IS NULL THEN 'no value' END AS error FROM events")
+@query("SELECT event_id, CASE WHEN value > 200 THEN 'too high' END AS error, (SELECT count(*) > 0 FROM events WHERE value > 200) AS stopped FROM events")
 def strm_error_budget(spark, d):
+    """A run that has no errors to spend stops at the first batch with one; a second run without a budget does the rest."""
     source, log, state = (scratch_path(spark, x) for x in ("work", "log", "state"))
     work = table(spark, d, "events").select("event_id", "value")
     work.write.parquet(source)
-    budget = 10**9  # the whole table is to be processed; tests cover the stop
-    run_once(spark, source, work.schema, log, state, "event_id", lambda df: df.select("event_id", F.when(F.col("value").isNull(), "no value").alias("error")), max_errors=budget)
-    return spark.read.parquet(log)
+    check = lambda df: df.select("event_id", F.when(F.col("value") > 200, "too high").alias("error"))
+    try:
+        run_once(spark, source, work.schema, log, state, "event_id", check, max_errors=0)
+        stopped = False
+    except StreamingQueryException:
+        stopped = True
+    run_once(spark, source, work.schema, log, state, "event_id", check)
+    return spark.read.parquet(log).withColumn("stopped", F.lit(stopped))

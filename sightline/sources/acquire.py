@@ -65,6 +65,33 @@ def extract(archive: str, target: str, force: bool = False) -> str:
     return str(root / tops.pop()) if len(tops) == 1 else str(root)
 
 
+def acquire(url: str, archive: str, target: str, expected: dict[str, int], receipt: str, force: bool = False) -> dict[str, object]:
+    """Downloads, digests and unpacks an archive, counts its files by suffix, checks the counts, and writes a receipt of all that.
+
+    ``expected``: suffix (lower case, with its dot) -> number of files. Counts that differ raise, after the receipt is written.
+    """
+    import hashlib
+    from collections import Counter
+    from datetime import UTC, datetime
+
+    from sightline.sources.sinks import atomic_json
+
+    remote = head(url)
+    size = download(url, archive, force=force)
+    digest = hashlib.sha256()
+    with open(archive, "rb") as f:
+        while block := f.read(1 << 20):
+            digest.update(block)
+    root = extract(archive, target, force)
+    found = Counter(p.suffix.lower() for p in Path(root).rglob("*") if p.is_file())
+    wrong = {suffix: {"expected": n, "found": found[suffix]} for suffix, n in sorted(expected.items()) if found[suffix] != n}
+    facts = {"url": url, "remote": remote, "bytes": size, "sha256": digest.hexdigest(), "root": root, "files": dict(sorted(found.items())), "differences": wrong, "acquired_at_utc": datetime.now(UTC).isoformat()}
+    atomic_json(facts, receipt)
+    if wrong:
+        raise ValueError(f"unexpected numbers of files: {wrong}")
+    return facts
+
+
 def load_config(path: str, fields: dict[str, type]) -> dict[str, object]:
     """A YAML or JSON mapping with just the known fields, of the known types."""
     text = Path(path).read_text(encoding="utf-8")

@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 
 from sightline.functions.text import strip
 from sightline.operators.validate import resolve_headers
+from sightline.storage import bounded_rows, cut_lineage
 
 CORRUPT = "_corrupt_record"
 
@@ -55,11 +56,43 @@ def jsonl_permissive(spark: SparkSession, path: str, schema: StructType | str) -
     return rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), rows.filter(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"), F.lit("invalid record").alias("message"))
 
 
+def _blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, place, value): all lines with the block of the file that a task read them from, and their order in it."""
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select(meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+    return lines.withColumn("value", F.when(F.col("block") == 0, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")))
+
+
+def _running(rows: DataFrame, value: Column, out: str, including: bool) -> DataFrame:
+    """Adds ``out``: the sum of ``value`` over the file's lines up to the line, or before it. Blocks are summed first, so a task sees one block at most, never a file."""
+    marked = rows.withColumn("__v", value.cast("bigint"))
+    before = F.sum("__v").over(Window.partitionBy("file", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow if including else -1))
+    sums = marked.groupBy(F.col("file").alias("__file"), F.col("block").alias("__block")).agg(F.sum("__v").alias("__n"))
+    upto = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    starts = sums.select("__file", "__block", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__start"))
+    return marked.withColumn(out, F.coalesce(before, F.lit(0))).join(starts, (F.col("file") == F.col("__file")) & (F.col("block") == F.col("__block"))).withColumn(out, F.col(out) + F.col("__start")).drop("__v", "__file", "__block", "__start")
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, row_number, value) of non-blank lines, in file order. Files are read whole, one per task, so a file must fit a worker."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("content").cast("string").alias("text"))
-    lines = files.select("file", F.posexplode(F.split(F.regexp_replace("text", "^﻿", ""), "\r?\n")).alias("i", "value"))
-    return lines.filter(strip("value") != "").select("file", (F.col("i") + 1).alias("row_number"), "value")
+    """(file, row_number, value) of non-blank lines; blank ones count in the numbers. Files are split as Spark splits them."""
+    lines = _running(_blocks(spark, path), F.lit(1), "row_number", True)
+    return lines.filter(strip("value") != "").select("file", "row_number", "value")
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, row_number, value) of the records of CSV files; a record goes on while a quote is open, so it may hold line breaks. Blank lines between records don't count.
+
+    Whether a line begins within quotes follows from the number of quotes before it in its file.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = _running(_blocks(spark, path), quotes, "quotes", False).withColumn("inside", F.col("quotes") % 2 == 1)
+    lines = lines.filter(F.col("inside") | (strip("value") != ""))
+    rows = cut_lineage(_running(lines, (~F.col("inside")).cast("int"), "row_number", True).select("file", "row_number", "block", "place", "value", "inside"), "csv-lines")
+    broken = rows.filter("inside").select("file", "row_number").distinct()  # few records hold line breaks
+    whole = rows.join(broken, ["file", "row_number"], "left_anti").select("file", "row_number", "value")
+    parts = F.array_sort(F.collect_list(F.struct("block", "place", "value")))
+    joined = rows.join(broken, ["file", "row_number"], "left_semi").groupBy("file", "row_number").agg(F.array_join(F.transform(parts, lambda p: p["value"]), "\n").alias("value"))
+    return whole.unionByName(joined)
 
 
 def jsonl_torn_tail(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -116,31 +149,36 @@ def record_at(indexed: DataFrame, ordinal: int) -> DataFrame:
 
 
 def annotations(spark: SparkSession, path: str) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """Rows of annotation files with canonical columns, file and row number (the header is row 1), and (file, message) of files with a bad header."""
-    lines = numbered_lines(spark, path)
-    heads = lines.filter("row_number = 1").select("file", "value").collect()  # one header per file
-    out, bad = None, []
+    """Rows of annotation files with canonical columns, file and row number (the header is row 1), and (file, message) of files with a bad header.
+
+    All files are read in one scan: distinct headers, which are few, are resolved on the driver and tell each file's places of the columns.
+    """
+    records = csv_records(spark, path)
     names = ["object", "split", "label", "image", "mask", "defect_type"]
-    for head in sorted(heads, key=lambda r: r["file"]):
-        columns = next(csv.reader([head["value"]]))
+    headers = records.filter("row_number = 1").select("file", F.col("value").alias("header"))
+    places, bad, width = [], [], 1
+    for head in bounded_rows(headers.select("header").distinct(), 10_000, "annotation headers"):
+        columns = next(csv.reader([head["header"]]))
         try:
             found = resolve_headers(columns)
         except ValueError as error:
-            bad.append((head["file"], str(error)))
+            bad.append((head["header"], str(error)))
             continue
-        fields = ", ".join(f"c{i} string" for i in range(len(columns)))
-        own = lines.filter((F.col("file") == head["file"]) & (F.col("row_number") > 1)).select("file", "row_number", F.from_csv("value", fields).alias("r"))
-        place = {c: columns.index(n) for c, n in found.items()}
-        rows = own.select("file", "row_number", *((F.col(f"r.c{place[n]}") if n in place else F.lit(None).cast("string")).alias(n) for n in names))
-        out = rows if out is None else out.unionByName(rows)
-    empty = spark.createDataFrame([], "file string, row_number int, " + ", ".join(f"{n} string" for n in names))
-    return (empty if out is None else out), bad
+        width = max(width, len(columns))
+        places.append((head["header"], [columns.index(found[n]) if n in found else None for n in names]))
+    known = headers.join(F.broadcast(spark.createDataFrame(places, "header string, places array<int>")), "header").select("file", "places")  # distinct headers
+    fields = ", ".join(f"c{i} string" for i in range(width))
+    rows = records.filter("row_number > 1").join(known, "file").select("file", F.col("row_number").cast("int").alias("row_number"), "places", F.from_csv("value", fields, {"escape": '"'}).alias("r"))
+    cells = rows.select("file", "row_number", "places", F.array(*(F.col(f"r.c{i}") for i in range(width))).alias("cells"))
+    out = cells.select("file", "row_number", *(F.when(F.get("places", i).isNotNull(), F.get("cells", F.get("places", i))).alias(n) for i, n in enumerate(names)))
+    wrong = headers.join(F.broadcast(spark.createDataFrame(bad, "header string, message string")), "header").select("file", "message")
+    return out, [(r["file"], r["message"]) for r in bounded_rows(wrong.orderBy("file"), what="files with a bad header")]
 
 
 def csv_inventory(spark: SparkSession, path: str) -> DataFrame:
     """(file, header, data_rows)."""
-    lines = numbered_lines(spark, path)
-    return lines.groupBy("file").agg(F.max(F.when(F.col("row_number") == 1, F.col("value"))).alias("header"), F.count_if(F.col("row_number") > 1).alias("data_rows"))
+    records = csv_records(spark, path)
+    return records.groupBy("file").agg(F.max(F.when(F.col("row_number") == 1, F.col("value"))).alias("header"), F.count_if(F.col("row_number") > 1).alias("data_rows"))
 
 
 def files(spark: SparkSession, path: str, suffixes: list[str], without_masks: bool = True) -> DataFrame:
@@ -153,8 +191,27 @@ def files(spark: SparkSession, path: str, suffixes: list[str], without_masks: bo
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256) of files."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+    """(path, sha256) of files of any size: each is read in pieces where its task runs."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+        import re
+
+        from pyarrow import fs
+
+        def of(uri: str) -> str:
+            system, place = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+            h = hashlib.sha256()
+            with system.open_input_stream(place) as f:
+                while piece := f.read(1 << 20):
+                    h.update(piece)
+            return h.hexdigest()
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(map(of, b.column("path").to_pylist()), pa.string())], names=["path", "sha256"])
+
+    return names.mapInArrow(digest, "path string, sha256 string")
 
 
 def image_size(content: bytes) -> tuple[int, int, str] | None:
@@ -179,8 +236,12 @@ def image_size(content: bytes) -> tuple[int, int, str] | None:
 
 
 def image_sizes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, width, height, format, error) of image files; headers are parsed in Arrow batches."""
-    blobs = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    """(path, width, height, format, error) of image files."""
+    return image_sizes_of(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content"))
+
+
+def image_sizes_of(blobs: DataFrame) -> DataFrame:
+    """(path, width, height, format, error) of images, ``blobs``: path, content; headers are parsed in Arrow batches."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -27,7 +27,9 @@ def run_once(spark: SparkSession, source: str, schema: StructType, log: str, sta
     but not committed, and work delivered twice. Results with a non-null ``error`` count against ``max_errors``; beyond it the run stops, keeping
     what is done.
     """
-    errors = 0
+    before = _log(spark, log) if max_errors is not None else None
+    # the log is counted once; batches add what they write
+    errors = 0 if before is None or "error" not in before.columns else before.filter(F.col("error").isNotNull()).count()
 
     def batch(df: DataFrame, _: int) -> None:
         nonlocal errors
@@ -36,9 +38,12 @@ def run_once(spark: SparkSession, source: str, schema: StructType, log: str, sta
         if done is not None:
             fresh = fresh.join(done.select(key), key, "left_anti")
         out = process(fresh)
-        out.write.mode("append").parquet(log)
-        if max_errors is not None and "error" in out.columns:
-            errors = spark.read.parquet(log).filter(F.col("error").isNotNull()).count()
+        if max_errors is None or "error" not in out.columns:
+            out.write.mode("append").parquet(log)
+        else:
+            seen = Observation()
+            out.observe(seen, F.count_if(F.col("error").isNotNull()).alias("errors")).write.mode("append").parquet(log)
+            errors += seen.get.get("errors", 0)
             if errors > max_errors:
                 raise ErrorBudgetExceeded(f"{errors} errors, {max_errors} allowed")
 

@@ -70,6 +70,35 @@ def test_annotations(spark, tmp_path):
     assert {r.data_rows for r in readers.csv_inventory(spark, str(tmp_path / "c")).collect()} == {2, 1}
 
 
+def test_records_over_several_lines(spark, tmp_path):
+    rows = [("object,split,label,image,mask\n")] + [f'pcb1,train,"a {i}\nb ""q"" {i}",{i}.jpg,m\n' if i % 7 == 0 else f"pcb1,train,normal,{i}.jpg,\n" for i in range(400)]
+    put(tmp_path, "m/a.csv", "".join(rows) + "\n\n")
+    put(tmp_path, "m/b.csv", "image,label,mask\n\n3.png,normal,\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")  # many blocks a file
+    try:
+        got = {r.image: r for r in readers.annotations(spark, str(tmp_path / "m"))[0].collect()}
+        lines = readers.numbered_lines(spark, str(tmp_path / "m")).filter("file LIKE '%b.csv'").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 401 and got["7.jpg"].label == 'a 7\nb "q" 7' and got["7.jpg"].row_number == 9 and got["399.jpg"].row_number == 401
+    assert {r.row_number: r.value for r in lines} == {1: "image,label,mask", 3: "3.png,normal,"}
+
+
+def test_acquire(tmp_path):
+    import json
+    import tarfile
+
+    put(tmp_path, "src/top/a.JPG", "x")
+    put(tmp_path, "src/top/b.csv", "y")
+    with tarfile.open(tmp_path / "a.tar", "w") as tar:
+        tar.add(tmp_path / "src/top", "top")
+    run = lambda expected: acquire.acquire(f"file://{tmp_path}/a.tar", str(tmp_path / "got.tar"), str(tmp_path / "out"), expected, str(tmp_path / "receipt.json"))
+    assert run({".jpg": 1, ".csv": 1})["root"].endswith("top")
+    with pytest.raises(ValueError):
+        run({".jpg": 2})
+    assert json.loads((tmp_path / "receipt.json").read_text())["differences"] == {".jpg": {"expected": 2, "found": 1}}
+
+
 def test_images_and_files(spark, tmp_path):
     png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR" + struct.pack(">II", 8, 6) + b"\x08\x00\x00\x00\x00"
     jpeg = b"\xff\xd8\xff\xe0" + struct.pack(">H", 4) + b"ab" + b"\xff\xc0" + struct.pack(">HBHH", 11, 8, 6, 9) + b"\x01\x00\x00\x00"
