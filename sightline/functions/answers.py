@@ -5,6 +5,8 @@ Columns: category, condition, defect_type, nine_grid_location, anomaly_area_rati
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,12 +15,43 @@ from sightline.functions.text import humanize
 MISSING = "unspecified visual anomaly"
 
 
-def _text(form: str, *parts: Column) -> Column:
-    """``form`` with a column for each {}."""
-    pieces = form.split("{}")
-    out = [F.lit(pieces[0])]
-    for part, piece in zip(parts, pieces[1:]):
-        out += [part, F.lit(piece)]
+#: The wording of each kind of answer, for normal images and for others.
+WORDING = {
+    "binary": (
+        "The item is normal. The dataset annotation contains no anomaly mask for this image, so no defect is identified.",
+        "The item is defective. The annotated defect is {defect} in the {place} region.",
+    ),
+    "product": ("The product category is {category}.", "The product category is {category}."),
+    "defect": ("No defect is annotated for this image.", "The annotated defect is {defect}."),
+    "location": ("No anomaly location is available because the image is annotated as normal.", "The anomaly centroid falls in the {place} region."),
+    "explanation": (
+        "This image is classified as normal because the source annotation provides no anomaly mask or defect label. This does not prove the absence of every possible real-world issue; it reflects the available annotation.",
+        "The inspection fails because the source annotation marks {defect}. The mask covers {percent}% of the image and its centroid lies in the {place} region. The project-defined visual severity is {severity}.",
+    ),
+    "technician": (
+        "QC note: {category} sample appears normal under the supplied annotation. No anomaly region is marked.",
+        "QC note: Reject {category} sample for manual review. Annotated issue: {defect}; location: {place}; visual severity: {severity}.",
+    ),
+    "uncertainty": (
+        "No root cause can be determined from this image. The source only indicates that no visual anomaly was annotated.",
+        "The visible annotation supports describing {defect}, but the mechanical root cause and safety impact cannot be established from this image alone.",
+    ),
+}
+#: What reports recommend for normal images and for others, and their note.
+ACTIONS = ("Accept under the current visual inspection criteria.", "Send the item for manual verification and do not pass automatic quality control.")
+SAFETY_NOTE = "Mechanical safety and root cause cannot be determined from this image alone."
+
+
+def pieces(form: str) -> list[tuple[str, str | None]]:
+    """Text and the name of the part that follows it, for each part of a wording."""
+    return [(text, name) for text, name, _, _ in Formatter().parse(form)]
+
+
+def _filled(form: str, parts: dict[str, Column]) -> Column:
+    """The wording with a column for each name; null where a part is."""
+    out = []
+    for words, name in pieces(form):
+        out += [F.lit(words)] * bool(words) + ([parts[name]] if name else [])
     return F.concat(*out)
 
 
@@ -58,29 +91,12 @@ def answers() -> dict[str, Column]:
     """The answer of each kind."""
     normal = F.col("condition") == "normal"
     defect, place, kind = humanize(F.nullif(F.col("defect_type"), F.lit("")), MISSING), location_text(), F.col("category")
-
-    def pick(if_normal: Column, otherwise: Column) -> Column:
-        return F.when(normal, if_normal).otherwise(otherwise)
-
-    action = pick(F.lit("Accept under the current visual inspection criteria."), F.lit("Send the item for manual verification and do not pass automatic quality control."))
-    note = "Mechanical safety and root cause cannot be determined from this image alone."
-    report = _text(
-        '{"condition": {}, "defect_type": {}, "location": {}, "product": {}, "recommended_action": {}, "safety_note": {}, "visual_severity": {}}',
-        _json_text(status()), _json_text(F.when(~normal, defect)), _json_text(F.when(~normal, place)), _json_text(kind), _json_text(action), F.lit(f'"{note}"'), _json_text(F.col("visual_severity")),
-    )
-    return {
-        "binary": pick(F.lit("The item is normal. The dataset annotation contains no anomaly mask for this image, so no defect is identified."), _text("The item is defective. The annotated defect is {} in the {} region.", defect, place)),
-        "product": _text("The product category is {}.", kind),
-        "defect": pick(F.lit("No defect is annotated for this image."), _text("The annotated defect is {}.", defect)),
-        "location": pick(F.lit("No anomaly location is available because the image is annotated as normal."), _text("The anomaly centroid falls in the {} region.", place)),
-        "explanation": pick(
-            F.lit("This image is classified as normal because the source annotation provides no anomaly mask or defect label. This does not prove the absence of every possible real-world issue; it reflects the available annotation."),
-            _text("The inspection fails because the source annotation marks {}. The mask covers {}% of the image and its centroid lies in the {} region. The project-defined visual severity is {}.", defect, percent_text(F.col("anomaly_area_ratio")), place, F.col("visual_severity")),
-        ),
-        "json": report,
-        "technician": pick(_text("QC note: {} sample appears normal under the supplied annotation. No anomaly region is marked.", kind), _text("QC note: Reject {} sample for manual review. Annotated issue: {}; location: {}; visual severity: {}.", kind, defect, place, F.col("visual_severity"))),
-        "uncertainty": pick(
-            F.lit("No root cause can be determined from this image. The source only indicates that no visual anomaly was annotated."),
-            _text("The visible annotation supports describing {}, but the mechanical root cause and safety impact cannot be established from this image alone.", defect),
-        ),
+    parts = {"defect": defect, "place": place, "category": kind, "severity": F.col("visual_severity"), "percent": percent_text(F.col("anomaly_area_ratio"))}
+    out = {name: F.when(normal, _filled(if_normal, parts)).otherwise(_filled(other, parts)) for name, (if_normal, other) in WORDING.items()}
+    fields = {
+        "condition": _json_text(status()), "defect_type": _json_text(F.when(~normal, defect)), "location": _json_text(F.when(~normal, place)), "product": _json_text(kind),
+        "recommended_action": _json_text(F.when(normal, ACTIONS[0]).otherwise(ACTIONS[1])), "safety_note": F.lit(f'"{SAFETY_NOTE}"'), "visual_severity": _json_text(F.col("visual_severity")),
     }
+    inner = [x for i, (name, c) in enumerate(fields.items()) for x in (F.lit((", " if i else "") + f'"{name}": '), c)]
+    out["json"] = F.concat(F.lit("{"), *inner, F.lit("}"))
+    return out

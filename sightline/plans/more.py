@@ -60,20 +60,14 @@ def fn_status(spark, d):
     return images(spark, d).select("image_id", answers.status().alias("status"))
 
 
-def _pick(normal: str, other: str) -> str:
-    return f"CASE WHEN condition = 'normal' THEN {normal} ELSE {other} END"
-
-
-_D, _L = _HUMAN.format("defect_type"), _HUMAN.format("nine_grid_location")
-_ANSWER_SQL = {
-    "binary": _pick("'The item is normal. The dataset annotation contains no anomaly mask for this image, so no defect is identified.'", f"'The item is defective. The annotated defect is ' || {_D} || ' in the ' || {_L} || ' region.'"),
-    "product": "'The product category is ' || category || '.'",
-    "defect": _pick("'No defect is annotated for this image.'", f"'The annotated defect is ' || {_D} || '.'"),
-    "location": _pick("'No anomaly location is available because the image is annotated as normal.'", f"'The anomaly centroid falls in the ' || {_L} || ' region.'"),
-    "technician": _pick("'QC note: ' || category || ' sample appears normal under the supplied annotation. No anomaly region is marked.'", f"'QC note: Reject ' || category || ' sample for manual review. Annotated issue: ' || {_D} || '; location: ' || {_L} || '; visual severity: ' || visual_severity || '.'"),
-    "explanation": _pick("'This image is classified as normal because the source annotation provides no anomaly mask or defect label. This does not prove the absence of every possible real-world issue; it reflects the available annotation.'", f"'The inspection fails because the source annotation marks ' || {_D} || '. The mask covers ' || printf('%.3f', anomaly_area_ratio * 100) || '% of the image and its centroid lies in the ' || {_L} || ' region. The project-defined visual severity is ' || visual_severity || '.'"),
-    "uncertainty": _pick("'No root cause can be determined from this image. The source only indicates that no visual anomaly was annotated.'", f"'The visible annotation supports describing ' || {_D} || ', but the mechanical root cause and safety impact cannot be established from this image alone.'"),
-}
+_ANSWER_PARTS = {"defect": _HUMAN.format("defect_type"), "place": _HUMAN.format("nine_grid_location"), "category": "category", "severity": "visual_severity", "percent": "printf('%.3f', anomaly_area_ratio * 100)"}
+
+
+def _filled(form: str) -> str:
+    return " || ".join(x for words, name in answers.pieces(form) for x in ([f"'{words}'"] if words else []) + ([_ANSWER_PARTS[name]] if name else []))
+
+
+_ANSWER_SQL = {kind: f"CASE WHEN condition = 'normal' THEN {_filled(normal)} ELSE {_filled(other)} END" for kind, (normal, other) in answers.WORDING.items()}
 
 
 def _answer(kind: str):
@@ -84,7 +78,7 @@ def _answer(kind: str):
     return run
 
 
-for _kind in ("binary", "product", "defect", "location", "explanation", "technician", "uncertainty"):
+for _kind in answers.WORDING:
     query(f"SELECT image_id, {_ANSWER_SQL[_kind]} AS answer FROM img")(_answer(_kind))
 
 
